@@ -79,7 +79,6 @@ def scored_labels(t) -> DataFrame:
         "lang",
         F.col("quality").alias("y"),
         F.when(F.col("n_chars") >= 500, 1).otherwise(0).alias("pred"),
-        (F.length("lang") + F.col("doc_id")).alias("spread"),
     )
 
 

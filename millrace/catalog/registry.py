@@ -19,6 +19,7 @@ def query(name: str, sql: str | None = None):
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
+        run.__module__ = fn.__module__
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = run

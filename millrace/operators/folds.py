@@ -35,8 +35,12 @@ def fold_union(folds: list[DataFrame]) -> DataFrame:
 def class_counts(df: DataFrame, target: str) -> DataFrame:
     """``(label, n, total, n_classes)``; totals come from the small class table."""
     counts = df.groupBy(F.col(target).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_classes"))
-    return counts.join(totals, F.lit(True))  # one row of totals
+    return counts.select(
+        "label",
+        "n",
+        counts.agg(F.sum("n")).scalar().alias("total"),
+        counts.agg(F.count(F.lit(1))).scalar().alias("n_classes"),
+    )
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:

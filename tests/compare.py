@@ -83,13 +83,20 @@ def compare(spark, con, sf_dir, name, fn, sql):
     return "ok", f"{sum(got.values())} rows {' ; '.join(notes)}", took
 
 
+def expand(argument, queries):
+    """A query name, or ``@module`` for all queries of one catalog module."""
+    if not argument.startswith("@"):
+        return [argument]
+    return [n for n, q in queries.items() if q.__module__.endswith("." + argument[1:])]
+
+
 def main(argv):
     from millrace.catalog import load_all
     from millrace.session import local_session
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     queries, oracle = load_all()
-    names = argv[1:] or list(queries)
+    names = [n for a in argv[1:] for n in expand(a, queries)] or list(queries)
     spark, con = local_session("8"), duck(sf_dir)
     failed = 0
     for name in names:
