@@ -125,6 +125,7 @@ def trace_events(t) -> DataFrame:
         (F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0).alias("ts_mono_ms"),
         kind.alias("type"),
         (k % SUBSTEP_COUNT).cast("int").alias("substep"),
+        F.lit(None).cast("long").alias("communication_id"),
         # Only dispatches and exceptions name their agent, as in a real log.
         F.when(kind.isin("substep.dispatch", "exception"), owner).alias("agent"),
         "value",
