@@ -54,4 +54,6 @@ def token_total(prompt: Column, completion: Column, total: Column) -> Column:
 
 
 def elapsed_ms(start: Column, end: Column) -> Column:
-    return F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp"))
+    """Whole milliseconds from ``start`` to ``end``; the part below a millisecond is cut."""
+    micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    return (micros / 1000).cast("long")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.numbers import elapsed_ms
 from millrace.plans.scan import HOT_ROWS, last, following, ordered_scan, previous, running_sum
 from millrace.session import cut_lineage
 
@@ -452,7 +453,7 @@ def run_timing(manifest: DataFrame, events: DataFrame, reports: DataFrame) -> Da
     )
     started = F.coalesce("trace_start", "started_at", "report_started_at")
     ended = F.coalesce("trace_end", "ended_at", "report_ended_at")
-    apart = F.unix_millis(ended.cast("timestamp")) - F.unix_millis(started.cast("timestamp"))
+    apart = elapsed_ms(started, ended)
     return joined.select(
         "run_id",
         started.alias("started_at"),
