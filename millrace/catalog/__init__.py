@@ -6,7 +6,7 @@ from importlib import import_module
 
 from millrace.catalog.registry import ORACLE, QUERIES
 
-MODULES = ["profiling", "preparation", "evaluation", "runs", "spending", "board", "passages", "extraction"]
+MODULES = ["profiling", "preparation", "evaluation", "runs", "spending", "board", "passages", "extraction", "sources"]
 
 
 def load_all():

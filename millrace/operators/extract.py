@@ -55,7 +55,8 @@ def repair_json(text: Column) -> Column:
 
 
 def _object_or_null(text: Column) -> Column:
-    return F.when(json_kind(text) == "OBJECT", text)
+    # The first character is looked at before anything is parsed.
+    return F.when(F.ltrim(text).startswith("{") & F.try_parse_json(text).isNotNull(), text)
 
 
 _MARK = re.compile(r'[{}"\\]')
@@ -141,7 +142,7 @@ def strip_fence(text: Column) -> Column:
 def _wrapped_code(json_text: Column) -> Column:
     variant = F.try_parse_json(json_text)
     fields = [F.try_variant_get(variant, f"$.{k}", "string") for k in CODE_KEYS]
-    kinds = [F.schema_of_variant(F.try_variant_get(variant, f"$.{k}", "variant")) == "STRING" for k in CODE_KEYS]
+    kinds = [F.to_json(F.try_variant_get(variant, f"$.{k}", "variant")).startswith('"') for k in CODE_KEYS]
     return F.coalesce(*[F.when(k & (F.trim(f) != ""), f) for k, f in zip(kinds, fields)])
 
 
