@@ -6,7 +6,19 @@ from importlib import import_module
 
 from millrace.catalog.registry import ORACLE, QUERIES
 
-MODULES = ["profiling", "preparation", "evaluation", "runs", "spending", "board", "passages", "extraction", "sources"]
+MODULES = [
+    "profiling",
+    "preparation",
+    "evaluation",
+    "runs",
+    "spending",
+    "board",
+    "passages",
+    "extraction",
+    "sources",
+    "modelling",
+    "live",
+]
 
 
 def load_all():
