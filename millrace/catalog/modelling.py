@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from millrace.catalog.fixtures import ORDERS_SPLIT, orders_test, orders_train
@@ -10,6 +11,9 @@ from millrace.catalog.registry import query
 from millrace.operators import contracts, models
 from millrace.operators.roles import Hints
 
+# Enough for every term of the conversations at the tested scales, so no tie is cut at the limit.
+VOCABULARY = 1 << 18
+
 
 @query(
     "scale_numeric",
@@ -41,17 +45,23 @@ def scale_onehot(t):
 @query(
     "tfidf_features",
     """WITH words AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}') AS w FROM conversations),
-    terms AS (SELECT DISTINCT conv_id, turn, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM words),
-    kept AS (SELECT term FROM terms GROUP BY term HAVING count(*) >= 2),
-    n AS (SELECT conv_id, turn, count(*) AS n_terms FROM terms JOIN kept ON kept.term = terms.term GROUP BY 1, 2)
-    SELECT c.conv_id, c.turn, coalesce(n_terms, 0) AS n_terms, CASE WHEN n_terms > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS norm FROM conversations c LEFT JOIN n ON n.conv_id = c.conv_id AND n.turn = c.turn""",
+    terms AS (SELECT conv_id, turn, term, count(*) AS tf FROM (SELECT conv_id, turn, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM words) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS n_documents FROM terms GROUP BY term HAVING count(*) >= 2),
+    weighted AS (SELECT conv_id, turn, term, n_documents, tf * (ln((1 + (SELECT count(*) FROM conversations)) / (1 + n_documents)) + 1) AS w FROM terms JOIN df USING (term)),
+    unit AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY conv_id, turn)) AS u FROM weighted)
+    SELECT term, any_value(n_documents) AS n_documents, round(sum(u), 5) AS total_weight FROM unit GROUP BY term""",
 )
 def tfidf_features(t):
+    """Document frequency and total unit-length weight of every term, summed over sparse vectors."""
     conversations = t.conversations
-    model = models.fit_text_features(conversations, "text")
-    cells = F.filter(vector_to_array("__tfidf"), lambda x: x != 0)
-    squares = F.aggregate(cells, F.lit(0.0), lambda a, x: a + x * x)
-    return model.transform(conversations).select("conv_id", "turn", F.size(cells).cast("long").alias("n_terms"), F.round(F.sqrt(squares), 6).alias("norm"))
+    model = models.fit_text_features(conversations, "text", terms=VOCABULARY)
+    rows = model.transform(conversations)
+    totals = rows.select(Summarizer.metrics("numNonZeros", "sum").summary(F.col("__tfidf")).alias("s"))
+    vocabulary = next(s for s in model.stages if hasattr(s, "vocabulary")).vocabulary
+    table = t.spark.createDataFrame(list(enumerate(vocabulary)), "position int, term string")
+    cells = F.arrays_zip(vector_to_array("s.numNonZeros").alias("n"), vector_to_array("s.sum").alias("w"))
+    per_term = totals.select(F.posexplode(cells).alias("position", "c"))
+    return table.join(per_term, "position").select("term", F.col("c.n").cast("long").alias("n_documents"), F.round("c.w", 5).alias("total_weight"))
 
 
 def _documents_task():

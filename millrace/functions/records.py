@@ -89,18 +89,18 @@ def json_kind(json: Column) -> Column:
 
     Valid JSON shows its kind in its first character, which is cheaper than a schema.
     """
-    first = F.substring(F.btrim(json, F.lit(" \t\r\n")), 1, 1)
-    kind = (
+    return F.when(F.try_parse_json(json).isNotNull(), kind_of_valid(F.btrim(json, F.lit(" \t\r\n"))))
+
+
+def kind_of_valid(json: Column) -> Column:
+    """:func:`json_kind` for text that is known to be trimmed, valid JSON."""
+    first = F.substring(json, 1, 1)
+    return (
         F.when(first == "{", "OBJECT")
         .when(first == "[", "ARRAY")
         .when(first == '"', "STRING")
         .when(first != "n", "SCALAR")
     )
-    return F.when(F.try_parse_json(json).isNotNull(), kind)
-
-
-def _wrapped(text: Column) -> Column:
-    return F.to_json(F.struct(text.alias("statement")))
 
 
 def _string_value(json: Column) -> Column:
@@ -112,21 +112,26 @@ def object_list(json: Column) -> Column:
 
     NULL becomes an empty list, text one statement, and bare items are wrapped as statements.
     """
-    kind = json_kind(json)
     nothing = F.array().cast("array<string>")
-    items = F.from_json(json, "array<string>")
 
     def item(value: Column) -> Column:
-        return F.when(json_kind(value) == "OBJECT", value).otherwise(_wrapped(value))
+        text = F.to_json(value)
+        plain = F.coalesce(F.try_variant_get(value, "$", "string"), text)
+        return F.when(text.startswith("{"), text).otherwise(F.to_json(F.struct(plain.alias("statement"))))
+
+    def coerced(value: Column) -> Column:
+        text = F.to_json(value)
+        plain = F.trim(F.coalesce(F.try_variant_get(value, "$", "string"), text))
+        one = F.array(F.to_json(F.struct(plain.alias("statement"))))
+        return (
+            F.when(text.isNull() | (text == "null"), nothing)
+            .when(text.startswith("["), F.transform(F.try_variant_get(value, "$", "array<variant>"), item))
+            .when(plain == "", nothing)
+            .otherwise(one)
+        )
 
-    text = F.trim(_string_value(json))
-    return (
-        F.when(kind.isNull(), nothing)
-        .when(kind == "STRING", F.when(text == "", nothing).otherwise(F.array(_wrapped(text))))
-        .when(kind == "ARRAY", F.transform(items, item))
-        .when(kind == "OBJECT", F.array(_wrapped(json)))
-        .otherwise(F.array(_wrapped(json)))
-    )
+    # Parsed once, then used as a variable.
+    return F.transform(F.array(F.try_parse_json(json)), coerced)[0]
 
 
 def text_list(json: Column) -> Column:

@@ -31,6 +31,9 @@ WHITE_SPACE = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# The same white space as patterns.
+SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
 
 
 def strip(text: Column) -> Column:
@@ -38,23 +41,30 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+def _where_marked(text: Column, changed: Column) -> Column:
+    """``changed`` for text with a heading mark; other text is spared the patterns."""
+    return F.when(F.contains(text, F.lit("#")), changed).otherwise(text)
+
+
 def unify_line_breaks(text: Column) -> Column:
-    return F.regexp_replace(text, r"\R", "\n")
+    unusual = text.rlike("[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    return F.when(unusual, F.regexp_replace(text, "\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n")).otherwise(text)
 
 
 def strip_headings(text: Column) -> Column:
     """Drop every markdown heading line."""
-    return strip(F.regexp_replace(text, "(?m)" + HEADING_LINE, ""))
+    return strip(_where_marked(text, F.regexp_replace(text, "(?m)" + HEADING_LINE, "")))
 
 
 def strip_leading_heading(text: Column) -> Column:
     """Drop the first line when it is a markdown heading."""
-    return strip(F.regexp_replace(strip(text), r"\A[ \t]*#{1,6}[ \t]+[^\n]+(\n|\z)", ""))
+    bare = strip(text)
+    return strip(_where_marked(bare, F.regexp_replace(bare, r"\A[ \t]*#{1,6}[ \t]+[^\n]+(\n|\z)", "")))
 
 
 def passage_key(text: Column) -> Column:
     """Text under which two passages count as the same."""
-    return F.lower(strip(F.regexp_replace(strip_headings(strip(text)), r"(?U)\s+", " ")))
+    return F.lower(strip(F.regexp_replace(strip_headings(strip(text)), SPACE_RUN, " ")))
 
 
 def plain_name(name: Column) -> Column:

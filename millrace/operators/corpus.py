@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import (
+    NOT_SPACE,
     passage,
     passage_body,
     passage_key,
@@ -28,6 +29,7 @@ DEFAULT_K = 4
 MAX_QUERIES = 1000
 _MARK = r"[ \t]*#{1,6}[ \t]+[^\n]*\S"
 _HEADING = r"\A[ \t]*(#{1,6})[ \t]+([^\n]*[^\n \t])[ \t]*(?:\n|\z)"
+_ONLY_HEADING = r"\A[ \t]*#{1,6}[ \t]+[^\n]*\S[ \t]*\n?\z"
 _TITLE = r"\A[ \t]*#[ \t]+[^\n]*\S"
 _POSITION = ["section_no", "paragraph_no", "piece_no"]
 
@@ -42,41 +44,47 @@ def split_sections(documents: DataFrame, source: str, text: str) -> DataFrame:
     explode keeps Spark from adding a filter that would build it again.
     """
     rows = documents.select(F.col(source).alias("source"), unify_line_breaks(F.col(text)).alias("__clean"))
-    rows = rows.withColumn("__pieces", F.split("__clean", rf"(?<=\n)(?={_MARK})"))
+    cut = F.when(F.contains("__clean", F.lit("#")), F.split("__clean", rf"\n(?={_MARK})"))
+    rows = rows.withColumn("__pieces", F.coalesce(cut, F.array("__clean")))
     rows = rows.select(
         "source",
         "__pieces",
         F.array_position(F.transform("__pieces", lambda p: p.rlike(_TITLE)), F.lit(True)).alias("__title_at"),
-        F.exists("__pieces", lambda p: F.regexp_replace(p, _HEADING, "") != "").alias("__has_lines"),
+        F.exists("__pieces", lambda p: (p != "") & ~p.rlike(_ONLY_HEADING)).alias("__has_lines"),
     )
     # Without any body line the whole text stays together under its title.
-    whole = F.array(F.array_join("__pieces", ""))
+    whole = F.array(F.array_join("__pieces", "\n"))
     rows = rows.withColumn("__whole_title", F.when(~F.col("__has_lines"), F.get("__pieces", (F.col("__title_at") - 1).cast("int"))))
     rows = rows.withColumn("__pieces", F.when(F.col("__has_lines"), F.col("__pieces")).otherwise(whole))
     rows = rows.select(
         "source", "__title_at", "__has_lines", "__whole_title", F.posexplode_outer("__pieces").alias("section_no", "__piece")
     )
+    # Filters stay on plain columns: on a computed one Spark would compute it a second time below.
+    rows = rows.where(~F.col("__has_lines") | ((F.col("__piece") != "") & ~F.col("__piece").rlike(_ONLY_HEADING)))
     heading = F.regexp_extract(F.when(F.col("__has_lines"), F.col("__piece")).otherwise(F.col("__whole_title")), _HEADING, 2)
     is_title = F.col("__has_lines") & (F.col("section_no") + 1 == F.col("__title_at"))
     body = F.when(F.col("__has_lines"), F.regexp_replace("__piece", _HEADING, "")).otherwise(F.col("__piece"))
     return rows.select(
-        "source", "section_no", F.when((heading != "") & ~is_title, heading).alias("section"), body.alias("body")
-    ).where("body <> ''").withColumn("body", strip(F.col("body")))
+        "source", "section_no", F.when((heading != "") & ~is_title, heading).alias("section"), strip(body).alias("body")
+    )
 
 
-def paragraph_chunks(sections: DataFrame) -> DataFrame:
-    """Paragraphs of every section body, long ones cut every 1,200 characters."""
+def _pieces(sections: DataFrame) -> DataFrame:
+    """Paragraph pieces in order; a piece that held nothing but headings is blank."""
     keys = ["source", "section_no", "section"]
     rows = sections.select(*keys, F.posexplode_outer(F.split("body", "\n\n")).alias("paragraph_no", "p"))
-    rows = rows.withColumn("p", strip(F.col("p"))).where("p <> ''").withColumn("__length", F.length("p"))
-    starts = F.sequence(F.lit(0), F.col("__length") - 1, F.lit(CHUNK_CHARS))
+    rows = rows.where(F.col("p").rlike(NOT_SPACE)).withColumn("p", strip(F.col("p")))
+    starts = F.sequence(F.lit(0), F.length("p") - 1, F.lit(CHUNK_CHARS))
     rows = rows.select(*keys, "paragraph_no", "p", F.posexplode_outer(starts).alias("piece_no", "__start"))
     piece = strip(F.substring(F.col("p"), F.col("__start") + 1, F.lit(CHUNK_CHARS)))
-    rows = rows.withColumn("text", piece)
-    # Only pieces that hold a heading mark pay for the heading expressions.
-    text = F.col("text")
-    bare = F.when(F.contains(text, F.lit("#")), strip_leading_heading(F.when(F.col("piece_no") == 0, text).otherwise(strip_headings(text)))).otherwise(text)
-    return rows.select(*keys, "paragraph_no", "piece_no", bare.alias("text")).where("text <> ''")
+    bare = strip_leading_heading(F.when(F.col("piece_no") == 0, piece).otherwise(strip_headings(piece)))
+    text = F.when(F.contains("p", F.lit("#")), bare).otherwise(piece)
+    return rows.select(*keys, "paragraph_no", "piece_no", text.alias("text"))
+
+
+def paragraph_chunks(sections: DataFrame) -> DataFrame:
+    """Paragraphs of every section body, long ones cut every 1,200 characters."""
+    return _pieces(sections).where("text <> ''")
 
 
 def merge_small(chunks: DataFrame) -> DataFrame:
@@ -94,6 +102,8 @@ def merge_small(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             done = []
             for source, section, text in zip(batch["source"], batch["section"], batch["text"]):
+                if not text:
+                    continue
                 if pending is not None and pending[0] == source:
                     if pending[2] == section and len(pending[3]) + 2 + len(text) <= MERGE_CHARS:
                         pending[3] += "\n\n" + text
@@ -119,7 +129,7 @@ def chunk_documents(documents: DataFrame, source: str, text: str) -> DataFrame:
 
     A row's chunks stay in the row's partition from start to end.
     """
-    return merge_small(paragraph_chunks(split_sections(documents, source, text)))
+    return merge_small(_pieces(split_sections(documents, source, text)))
 
 
 def dedupe_passages(passages: DataFrame, text: str, order: list[str], by: list[str] = ()) -> DataFrame:
@@ -128,10 +138,10 @@ def dedupe_passages(passages: DataFrame, text: str, order: list[str], by: list[s
     Copies collapse in the map tasks: only digests and the first row of each are shuffled.
     """
     key = passage_key(passage_body(F.col(text)))
-    keyed = passages.withColumn("__key", key).where("__key <> ''").withColumn("__key", F.sha2("__key", 256))
+    keyed = passages.withColumns({"__key": F.sha2(key, 256), "__blank": key == ""})
     rest = [c for c in passages.columns if c not in by]
-    first = keyed.groupBy(*by, "__key").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r"))
-    return first.select(*by, "r.*")
+    first = keyed.groupBy(*by, "__key").agg(F.min_by(F.struct(*rest, "__blank"), F.struct(*order)).alias("r"))
+    return first.where("not r.__blank").select(*by, *[f"r.{c}" for c in rest])
 
 
 def _top(scored: DataFrame, k: int, order: list[str]) -> DataFrame:
@@ -157,14 +167,19 @@ def keyword_top(
         return out
     k, order = max(1, k), list(order)
     asked = F.array(*[F.struct(F.lit(i).alias("query_id"), query_terms(F.lit(q)).alias("terms")) for i, q in queries if q.strip()])
-    lowered = F.lower("text")
-    scores = F.transform(
-        asked,
-        lambda q: F.struct(
-            q["query_id"].alias("query_id"),
-            F.size(F.filter(q["terms"], lambda t: F.contains(lowered, t))).alias("score"),
-        ),
-    )
+
+
+    def scored(lowered: Column) -> Column:
+        return F.transform(
+            asked,
+            lambda q: F.struct(
+                q["query_id"].alias("query_id"),
+                F.size(F.filter(q["terms"], lambda t: F.contains(lowered, t))).alias("score"),
+            ),
+        )
+
+    # Through an array of one, so the text is lower-cased once per chunk and not once per term.
+    scores = F.flatten(F.transform(F.array(F.lower("text")), scored))
     hits = chunks.select(*chunks.columns, F.explode(F.filter(scores, lambda s: s["score"] > 0)).alias("s")).select(
         *chunks.columns, "s.*"
     )

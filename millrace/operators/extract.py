@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.records import json_kind, object_list, text_list
+from millrace.functions.records import json_kind, kind_of_valid, object_list
 from millrace.functions.text import ELLIPSIS, strip
 
 # Patterns and vocabulary of the replies.
@@ -202,7 +202,7 @@ def contract_errors(json_text: Column, contract: ReplyContract) -> Column:
         return F.to_json(F.try_variant_get(variant, f"$.{key}", "variant"))
 
     def kind(key: str) -> Column:
-        shape = json_kind(member(key))
+        shape = kind_of_valid(member(key))
         number = F.when(shape == "SCALAR", F.when(member(key).isin("true", "false"), "BOOLEAN").otherwise("NUMBER"))
         return F.coalesce(number, shape)
 
@@ -215,8 +215,9 @@ def contract_errors(json_text: Column, contract: ReplyContract) -> Column:
         checks.append(F.when(kind(key).isNotNull() & (kind(key) != "OBJECT"), f"not_object:{key}"))
     for key in contract.forbidden:
         checks.append(F.when(member(key).isNotNull(), f"forbidden:{key}"))
-    found = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
-    return F.when(F.coalesce(json_kind(json_text) != "OBJECT", F.lit(True)), F.array(F.lit("not_object"))).otherwise(found)
+    is_object = F.coalesce(variant.isNotNull() & F.ltrim(json_text).startswith("{"), F.lit(False))
+    # One flat list of checks, so the parsed reply is shared by all of them.
+    return F.array_compact(F.array(F.when(~is_object, "not_object"), *[F.when(is_object, c) for c in checks]))
 
 
 def normalise_shape(json_text: Column, lists: list[str] = (), object_lists: list[str] = (), objects: list[str] = ()) -> Column:
@@ -228,16 +229,17 @@ def normalise_shape(json_text: Column, lists: list[str] = (), object_lists: list
 
     def repaired(key: Column, value: Column) -> Column:
         text = F.to_json(value)
-        quoted = F.transform(text_list(text), lambda s: F.to_json(F.parse_json(F.to_json(F.array(s)))))
-        as_list = F.concat(F.lit("["), F.array_join(F.transform(quoted, lambda q: F.substring(q, 2, F.length(q) - 2)), ","), F.lit("]"))
-        out = (
-            F.when(text.isNull() | (text == "null"), text)
+        is_text = text.startswith('"')
+        as_list = F.when(F.trim(F.try_variant_get(value, "$", "string")) == "", "[]").otherwise(
+            F.concat(F.lit("["), text, F.lit("]"))
+        )
+        changed = (
+            F.when(text == "null", F.lit(None).cast("string"))
             .when(key.isin(list(object_lists)), json_array(object_list(text)))
-            .when(key.isin(list(lists)) & (json_kind(text) == "STRING"), as_list)
-            .when(key.isin(list(objects)) & (json_kind(text) == "STRING"), F.lit("{}"))
-            .otherwise(text)
+            .when(key.isin(list(lists)) & is_text, as_list)
+            .when(key.isin(list(objects)) & is_text, F.lit("{}"))
         )
-        return F.try_parse_json(out)
+        return F.coalesce(F.try_parse_json(changed), value)
 
     return F.to_json(F.transform_values(members, repaired))
 

@@ -51,6 +51,7 @@ TOKEN = r"(?U)\b\w\w+\b"
 MISSING_CATEGORY = "missing"
 TREES = 100
 STEP = 0.1
+LOGISTIC_STEPS = 60
 MAX_TECHNIQUES = 3
 
 MAX_CATEGORIES = 10_000
@@ -211,7 +212,7 @@ def estimator(technique: str, task: Task, n_rows: int, n_classes: int, weighted:
             "random_forest": lambda: RandomForestRegressor(labelCol=label, numTrees=TREES, maxDepth=10, seed=SEED),
             "hist_gradient_boosting": lambda: GBTRegressor(labelCol=label, maxIter=TREES, stepSize=STEP, seed=SEED),
         }[technique]()
-    logistic = LogisticRegression(labelCol=label, regParam=penalty, standardization=False, maxIter=200, tol=1e-4)
+    logistic = LogisticRegression(labelCol=label, regParam=penalty, standardization=False, maxIter=LOGISTIC_STEPS, tol=1e-4)
     if weighted:
         logistic = logistic.setWeightCol("__weight")
     if technique in ("logistic_regression", "tfidf_logreg"):
