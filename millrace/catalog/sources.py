@@ -134,7 +134,7 @@ def nested_trace_explode(t):
         F.from_json("props", "map<string,string>").alias("attributes"),
     )
     documents = t.events.groupBy(F.col("user_id").cast("string").alias("run_id"), F.floor(F.col("event_id") / 100).alias("stretch")).agg(
-        F.sort_array(F.collect_list(event.alias("e").dropFields("attributes"))).alias("plain"), F.collect_list(event).alias("events")
+        F.collect_list(event).alias("events")
     )
     documents.select("run_id", "events").write.json(folder)
     runs = t.spark.read.schema(jsonlines.TRACE_SCHEMA).json(folder)

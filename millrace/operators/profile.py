@@ -52,14 +52,24 @@ def as_text(field: T.StructField) -> Column:
     return column.cast("string")
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def value_counts(df: DataFrame, columns: list[str] | None = None, whole: list[str] | None = None) -> DataFrame:
     """Long table ``(column, value, n)``; NULL is kept as a value of its own.
 
     One unpivot and one map-side-combined shuffle serve missing counts, exact distinct counts,
-    modes and distributions of all columns together.
+    modes and distributions of all columns together. Values of the ``whole`` columns (all, unless
+    given) are kept as they are; in the others a long value is replaced by its SHA-256, so that
+    counting documents does not shuffle documents.
     """
     chosen = columns or df.columns
-    text = df.select(*[as_text(df.schema[c]).alias(c) for c in chosen])
+    kept = set(chosen if whole is None else whole)
+
+    def counted(name: str) -> Column:
+        value = as_text(df.schema[name])
+        if name in kept or family(df.schema[name].dataType) not in ("string", "nested"):
+            return value
+        return F.when(F.length(value) > LONG_CELL, F.sha2(value, 256)).otherwise(value)
+
+    text = df.select(*[counted(c).alias(c) for c in chosen])
     long = text.unpivot([], chosen, "column", "value")
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -71,7 +81,7 @@ def _per_column(df: DataFrame, columns: list[str], value) -> Column:
 
 def column_profile(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """One row per column: position, dtype, rows, missing, exact distinct, constant flag."""
-    counts = counts if counts is not None else value_counts(df)
+    counts = counts if counts is not None else value_counts(df, whole=[])
     order = {c: i for i, c in enumerate(df.columns)}
     per_column = counts.groupBy("column").agg(
         F.sum("n").alias("n_rows"),
@@ -259,7 +269,7 @@ def profile_dataset(
     id_column: str | None = None,
 ) -> dict[str, DataFrame]:
     """All profile tables of a dataset, sharing one pass for the per-column counts."""
-    counts = value_counts(train)
+    counts = value_counts(train, whole=[target] if target in train.columns else [])
     out = {"columns": column_profile(train, counts)}
     if id_column in train.columns:
         out["duplicates"] = duplicate_keys(train, [id_column])

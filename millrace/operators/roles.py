@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import plain_name
+from millrace.plans.scan import ordered_scan, row_number
 
 # Scores and patterns that decide the inferred roles.
 TARGET_NAME_POINTS = [
@@ -229,5 +230,5 @@ def label_codec(df: DataFrame, target: str) -> DataFrame:
     everyone = labels.agg(F.bool_and(F.coalesce(number == F.rint(number), F.lit(False)))).first()[0]
     if everyone:
         return labels.select("label", number.cast("long").alias("code"))
-    # One row per class: the class table is small whatever the size of the data.
-    return labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("long").alias("code"))
+    ranked = ordered_scan(labels, [], ["label"], {"code": row_number()})
+    return ranked.select("label", (F.col("code") - 1).cast("long").alias("code"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import elapsed_ms
-from millrace.plans.scan import HOT_ROWS, last, following, ordered_scan, previous, running_sum
+from millrace.plans.scan import HOT_ROWS, following, largest_group, last, ordered_scan, previous, running_sum
 from millrace.session import cut_lineage
 
 # Vocabulary of the logs.
@@ -127,10 +127,10 @@ def resolve_agent(known: list[str], roles: dict[str, str], role: Column, *names:
     return F.coalesce(*choices)
 
 
-def with_current_agent(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_current_agent(events: DataFrame, hot_rows: int = HOT_ROWS, at_most: int | None = None) -> DataFrame:
     """Add ``current_agent``: the agent last dispatched or activated in the run so far."""
     setter = F.when(F.col("type").isin("substep.dispatch", "agent.activate"), F.col("agent"))
-    return ordered_scan(events, ["run_id"], ORDER, {"current_agent": last(setter)}, hot_rows)
+    return ordered_scan(events, ["run_id"], ORDER, {"current_agent": last(setter)}, hot_rows, at_most)
 
 
 def agent_states(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -189,11 +189,13 @@ def agent_edges(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
     A model call stays open (``animated``) unless the agent's next model event is its end.
     """
-    current = with_current_agent(events, hot_rows)
+    biggest = largest_group(events, ["run_id"])
+    current = with_current_agent(events, hot_rows, biggest)
     caller = F.coalesce("current_agent", "agent")
     calls = current.where(F.col("type").isin("llm.start", "llm.end")).withColumn("caller", caller)
     calls = ordered_scan(
-        calls.where("caller is not null"), ["run_id", "caller"], ORDER, {"__next": following(F.col("type"))}, hot_rows
+        calls.where("caller is not null"), ["run_id", "caller"], ORDER, {"__next": following(F.col("type"))},
+        hot_rows, biggest,
     )
     call_key = F.coalesce(F.col("communication_id").cast("string"), F.col("id").cast("string"))
 
@@ -271,13 +273,15 @@ def correlate(events: DataFrame, records: DataFrame, hot_rows: int = HOT_ROWS) -
     # With one record open, the sum of opened minus closed record numbers is that record.
     signed = F.coalesce(F.col("comm_no"), F.lit(0)) * F.col("step")
     order = ["ts", "rank", "id", "step"]
+    biggest = largest_group(log, ["run_id"])
     log = ordered_scan(
         log, ["run_id", "agent"], order,
-        {"latest": last(opened), "agent_open": running_sum(F.col("step")), "agent_sum": running_sum(signed)}, hot_rows,
+        {"latest": last(opened), "agent_open": running_sum(F.col("step")), "agent_sum": running_sum(signed)},
+        hot_rows, biggest,
     )
     log = ordered_scan(
         log, ["run_id"], [*order, "agent"],
-        {"run_open": running_sum(F.col("step")), "run_sum": running_sum(signed)}, hot_rows,
+        {"run_open": running_sum(F.col("step")), "run_sum": running_sum(signed)}, hot_rows, biggest,
     )
     is_open = F.col("latest.closed_at").isNull() | (F.col("latest.closed_at") > F.col("ts"))
     asof = log.where("is_event").select(
@@ -289,11 +293,10 @@ def correlate(events: DataFrame, records: DataFrame, hot_rows: int = HOT_ROWS) -
             F.when(F.col("run_open") == 1, F.col("run_sum")),
         ).alias("by_time"),
     )
-    return (
-        events.select("run_id", "id", "call_id")
-        .join(exact, ["run_id", "call_id"], "left")
-        .join(asof, ["run_id", "id"], "left")
-        .select("run_id", "id", F.coalesce("by_call", "by_time").alias("comm_no"))
+    # Events without a call id stay out of that join, where they would all meet in one task.
+    named = events.where("call_id is not null").select("run_id", "id", "call_id").join(exact, ["run_id", "call_id"])
+    return asof.join(named.select("run_id", "id", "by_call"), ["run_id", "id"], "left").select(
+        "run_id", "id", F.coalesce("by_call", "by_time").alias("comm_no")
     )
 
 

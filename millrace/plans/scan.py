@@ -85,9 +85,16 @@ def ordered_scan(
     order: list[str],
     outputs: dict[str, Scan],
     hot_rows: int = HOT_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
-    """Add one column per entry of ``outputs``. ``order`` must be unique inside a group."""
-    if largest_group(df, by) <= hot_rows:
+    """Add one column per entry of ``outputs``. ``order`` must be unique inside a group.
+
+    ``at_most`` is an upper bound of the group sizes when the caller knows one, for instance from
+    a coarser grouping; it saves the counting pass.
+    """
+    if at_most is None or at_most > hot_rows:
+        at_most = largest_group(df, by)
+    if at_most <= hot_rows:
         return _plain_scan(df, by, order, outputs)
     return _split_scan(df, by, order, outputs)
 

@@ -65,11 +65,14 @@ def read_csv(
     ``multi_line`` allows line breaks in quoted cells, at the price that a file is not split.
     """
     files = file_encodings(spark, path)
-    # One row per encoding; the file lists are names, not data.
-    groups = files.groupBy("encoding").agg(F.collect_list("file").alias("files")).collect()
-    parts = [_read_text_columns(spark, g["files"], g["encoding"], sep, multi_line) for g in groups]
-    if not parts:
+    found = [r["encoding"] for r in files.select("encoding").distinct().collect()]  # at most three
+    if not found:
         raise FileNotFoundError(f"no rows in {path}")
+    parts = []
+    for encoding in found:
+        # Names are needed only where a folder mixes encodings.
+        places = [path] if len(found) == 1 else [r["file"] for r in files.where(F.col("encoding") == encoding).select("file").collect()]
+        parts.append(_read_text_columns(spark, places, encoding, sep, multi_line))
     text = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     text = text.select(*[missing_to_null(F.col(f"`{c}`")).alias(c) for c in text.columns])
     if schema is None:
