@@ -94,7 +94,8 @@ def fold_scores(t):
 @query(
     "evaluation_bundle",
     f"""WITH {SCORED_LABELS}, {_LABEL_STATS},
-    folded AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5(doc_id || '|42'), doc_id) - 1) % 5 AS fold FROM scored),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(doc_id || '|42')) AS rk, count(*) OVER (PARTITION BY y) AS n FROM scored),
+    folded AS (SELECT *, (rk > floor(n * 0.2 + 0.5))::INT + (rk > floor(n * 0.4 + 0.5))::INT + (rk > floor(n * 0.6 + 0.5))::INT + (rk > floor(n * 0.8 + 0.5))::INT AS fold FROM ranked),
     fold_f1 AS (SELECT fold, 2.0 * count(*) FILTER (y = 1 AND pred = 1) / (count(*) FILTER (y = 1) + count(*) FILTER (pred = 1)) AS f1 FROM folded GROUP BY 1),
     entries AS (SELECT 'accuracy' AS metric, avg(CAST(y = pred AS INTEGER)) AS value FROM scored
       UNION ALL SELECT 'balanced_accuracy', avg(r) FROM per_class UNION ALL SELECT 'f1', f FROM per_class WHERE label = 1
@@ -104,8 +105,7 @@ def fold_scores(t):
 )
 def evaluation_bundle(t):
     scored = folds.stratified_folds(scored_labels(t), "y", ["doc_id"])
-    per_fold = metrics.overall_metrics(metrics.confusion_counts(scored, "y", "pred", ["fold"]), ["fold"])
-    bundle = metrics.evaluation_bundle(metrics.confusion_counts(scored, "y", "pred"), per_fold)
+    bundle = metrics.evaluation_bundle(metrics.confusion_counts(scored, "y", "pred", ["fold"]))
     return bundle.select(F.explode("metrics").alias("metric", "value"), "cv").select(
         "metric", F.round("value", 8).alias("value"),
         F.round(F.col("cv")["mean"], 8).alias("cv_mean"), F.round(F.col("cv")["std"], 8).alias("cv_std"),

@@ -174,9 +174,13 @@ def format_tables(t):
     return train.unionByName(test, allowMissingColumns=True)
 
 
+_FOLDS = """ranked AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id || '|42')) AS rk, count(*) OVER (PARTITION BY quality) AS n FROM labels),
+    folded AS (SELECT *, (rk > floor(n * 0.2 + 0.5))::INT + (rk > floor(n * 0.4 + 0.5))::INT + (rk > floor(n * 0.6 + 0.5))::INT + (rk > floor(n * 0.8 + 0.5))::INT AS fold FROM ranked)"""
+
+
 @query(
     "fold_assign_stratified",
-    """SELECT doc_id, quality, CAST((row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id || '|42'), doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels""",
+    f"WITH {_FOLDS} SELECT doc_id, quality, fold FROM folded",
 )
 def fold_assign_stratified(t):
     return folds.stratified_folds(t.labels.select("doc_id", "quality"), "quality", ["doc_id"])
@@ -192,8 +196,7 @@ def fold_assign_plain(t):
 
 @query(
     "oof_union",
-    """SELECT CAST((row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id || '|42'), doc_id) - 1) % 5 AS INTEGER) AS fold,
-    quality, doc_id FROM labels""",
+    f"WITH {_FOLDS} SELECT doc_id, quality, fold FROM folded",
 )
 def oof_union(t):
     assigned = folds.stratified_folds(t.labels.select("doc_id", "quality"), "quality", ["doc_id"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import ratio
-from millrace.plans.ranks import shuffled_key, shuffled_rank
+from millrace.plans.ranks import shuffled_key, with_share
 
 FOLDS = 5
 SEED = 42
@@ -16,9 +16,11 @@ IMBALANCE_SHARE = 0.4
 
 
 def stratified_folds(df: DataFrame, target: str, key: list[str], k: int = FOLDS, seed: int = SEED) -> DataFrame:
-    """Add ``fold`` so that every class is spread evenly over the folds."""
-    ranked = shuffled_rank(df, [target], key, seed, "__rank")
-    return ranked.withColumn("fold", ((F.col("__rank") - 1) % k).cast("int")).drop("__rank")
+    """Add ``fold`` so that every class is spread evenly over the folds.
+
+    A fold is one k-th of each class in shuffled order; rows are labelled in place.
+    """
+    return with_share(df, [target], key, seed, [i / k for i in range(1, k)], "fold")
 
 
 def plain_folds(df: DataFrame, key: list[str], k: int = FOLDS, seed: int = SEED) -> DataFrame:

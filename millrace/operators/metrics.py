@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.metricrules import METRIC_ORDER, lower_is_better
 from millrace.functions.numbers import log1p_clipped, ratio, ratio_or_zero
+from millrace.session import cut_lineage
 
 LOW_RECALL = 0.7
 LOW_PRECISION = 0.6
@@ -117,8 +118,15 @@ def fold_summary(fold_metrics: DataFrame, score: str, by: list[str] = ()) -> Dat
     )
 
 
-def evaluation_bundle(counts: DataFrame, fold_metrics: DataFrame, score: str = "f1") -> DataFrame:
-    """One row: metric map with per-class entries, confusion cells and the cross-validation map."""
+def evaluation_bundle(fold_counts: DataFrame, score: str = "f1") -> DataFrame:
+    """One row: metric map with per-class entries, confusion cells and the cross-validation map.
+
+    ``fold_counts`` are confusion counts per fold; the table is tiny and read several times, so
+    it is materialised first.
+    """
+    fold_counts = cut_lineage(fold_counts)
+    counts = fold_counts.groupBy("y", "pred").agg(F.sum("n").alias("n"))
+    fold_metrics = overall_metrics(fold_counts, ["fold"])
     per_class = class_metrics(counts).select(
         F.explode(
             F.array(

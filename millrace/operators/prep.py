@@ -13,7 +13,7 @@ from millrace.functions.text import ABSENT_NUMBER, ABSENT_TEXT
 from millrace.operators.profile import numeric_columns, value_counts
 from millrace.operators.roles import Hints
 from millrace.plans.quantiles import DIRECT_ROWS, exact_quantiles
-from millrace.plans.ranks import shuffled_rank
+from millrace.plans.ranks import with_share
 
 HOLDOUT_SHARE = 0.2
 HOLDOUT_SEED = 42
@@ -145,15 +145,8 @@ def stratified_holdout(
     """
     classes = df.select(target).distinct().limit(MAX_STRATA + 1).count()
     by = [target] if classes < MAX_STRATA else []
-    ranked = shuffled_rank(df, by, key, seed, "__rank")
-    sizes = df.groupBy(*[F.col(c).alias(f"__class_{c}") for c in by]).agg(F.count(F.lit(1)).alias("__size"))
-    if by:
-        joined = ranked.join(sizes, F.col(target).eqNullSafe(F.col(f"__class_{target}")))
-        size = F.col("__size")
-    else:
-        joined, size = ranked, F.lit(sizes.first()["__size"])
-    held_out = F.col("__rank") <= F.floor(size * share + 0.5)
-    return joined.select(*df.columns, held_out.alias("is_holdout"))
+    split = with_share(df, by, key, seed, [share], "__after")
+    return split.select(*df.columns, (F.col("__after") == 0).alias("is_holdout"))
 
 
 def wide_text_columns(counts_or_df: DataFrame, hints: Hints, n_rows: int | None = None) -> list[str]:

@@ -80,14 +80,17 @@ def test_bracketed_quantiles_are_exact(spark, values):
         assert found == [None, None, None]
 
 
-def test_shuffled_rank_is_a_permutation(spark):
-    df = spark.range(500).withColumn("label", F.when(F.col("id") < 450, "big").when(F.col("id") < 490, "small"))
-    for digits in (1, 4):
-        rows = ranks.shuffled_rank(df, ["label"], ["id"], 42, "rank", digits).toPandas()
-        for _, group in rows.fillna("none").groupby("label"):
-            assert sorted(group["rank"]) == list(range(1, len(group) + 1))
-    first = ranks.shuffled_rank(df, ["label"], ["id"], 42, "rank", 1)
-    assert first.exceptAll(ranks.shuffled_rank(df, ["label"], ["id"], 42, "rank", 4)).isEmpty()
+@pytest.mark.parametrize("digits", [1, 4])
+def test_class_shares_are_exact(spark, digits):
+    df = spark.range(500).withColumn("label", F.when(F.col("id") < 450, "big").when(F.col("id") < 487, "small"))
+    shares = [0.01, 0.5, 0.9]
+    rows = ranks.with_share(df, ["label"], ["id"], 42, shares, "after", digits).toPandas().fillna("none")
+    for label, n in (("big", 450), ("small", 37), ("none", 13)):
+        ends = [0, *[int(n * s + 0.5) for s in shares], n]
+        found = rows[rows["label"] == label]["after"].value_counts().to_dict()
+        assert found == {i: b - a for i, (a, b) in enumerate(zip(ends, ends[1:])) if b > a}
+    plain = ranks.with_share(df, [], ["id"], 42, [0.2], "after", digits).groupBy("after").count().collect()
+    assert {r["after"]: r["count"] for r in plain} == {0: 100, 1: 400}
 
 
 def test_event_tree_of_a_chain_and_a_star(spark):
