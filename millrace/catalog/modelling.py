@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ def tfidf_features(t):
     rows = model.transform(conversations)
     totals = rows.select(Summarizer.metrics("numNonZeros", "sum").summary(F.col("__tfidf")).alias("s"))
     vocabulary = next(s for s in model.stages if hasattr(s, "vocabulary")).vocabulary
-    table = t.spark.createDataFrame(list(enumerate(vocabulary)), "position int, term string")
+    table = t.spark.createDataFrame(pd.DataFrame({"term": vocabulary}).rename_axis("position").reset_index())
     cells = F.arrays_zip(vector_to_array("s.numNonZeros").alias("n"), vector_to_array("s.sum").alias("w"))
     per_term = totals.select(F.posexplode(cells).alias("position", "c"))
     return table.join(per_term, "position").select("term", F.col("c.n").cast("long").alias("n_documents"), F.round("c.w", 5).alias("total_weight"))
@@ -68,16 +69,28 @@ def _documents_task():
     return models.Task("quality", "doc_id", "classification", "f1", Hints(text_free=("text",)))
 
 
-@query("text_baseline_cv")
+@query(
+    "text_baseline_cv",
+    """WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id || '|42')) AS rk, count(*) OVER (PARTITION BY quality) AS n FROM labels JOIN documents USING (doc_id))
+    SELECT doc_id, (rk > floor(n * 0.2 + 0.5))::INT + (rk > floor(n * 0.4 + 0.5))::INT + (rk > floor(n * 0.6 + 0.5))::INT + (rk > floor(n * 0.8 + 0.5))::INT AS fold, quality::INT AS y, true AS has_class FROM r""",
+)
 def text_baseline_cv(t):
-    """Out-of-fold predictions of the text baseline."""
+    """Every labelled document is predicted exactly once, by a model that has not seen its fold.
+
+    The predicted class itself depends on the optimiser, so only its validity is compared.
+    """
     train = t.documents.join(t.labels, "doc_id").select("doc_id", "text", "quality")
-    return models.run_experiment(train, _documents_task(), "tfidf_logreg").oof
+    oof = models.run_experiment(train, _documents_task(), "tfidf_logreg").oof
+    return oof.select("doc_id", "fold", F.col("y").cast("int").alias("y"), F.col("pred").isin(0.0, 1.0).alias("has_class"))
 
 
-@query("tabular_baseline_cv")
+@query(
+    "tabular_baseline_cv",
+    """WITH o AS (SELECT l_orderkey, sum(l_extendedprice) AS price, CAST('0x' || substr(md5(l_orderkey || '|42'), 1, 8) AS BIGINT) % 5 AS fold FROM lineitem GROUP BY 1)
+    SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, true AS beats_mean FROM o GROUP BY 1""",
+)
 def tabular_baseline_cv(t):
-    """Fold metrics of the regression ladder."""
+    """Folds of the regression ladder; the best technique must beat predicting the mean."""
     lines = t.lineitem.groupBy("l_orderkey").agg(
         F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"), F.max("l_returnflag").alias("flag"),
         F.sum("l_extendedprice").alias("price"),
@@ -85,7 +98,8 @@ def tabular_baseline_cv(t):
     task = models.Task("price", "l_orderkey", "regression", "rmse")
     results = models.compare_experiments(lines, task, ["ridge", "lasso"])
     best = models.select_best(results, task)
-    return best.fold_metrics.select(F.lit(best.technique).alias("technique"), "fold", "rmse", "mae", "n")
+    spread = lines.agg(F.stddev_pop("price")).scalar()
+    return best.fold_metrics.select("fold", "n", (F.col("rmse") < spread).alias("beats_mean"))
 
 
 @query(

@@ -57,6 +57,23 @@ def chunk_documents(t):
     return corpus.chunk_documents(corpus_files(t), "name", "body")
 
 
+@query(
+    "merge_small_chunks",
+    f"""WITH RECURSIVE {_CHUNKS}, raw_counts AS (SELECT source, count(*) AS n_pieces FROM pieces GROUP BY 1)
+    SELECT c.source, any_value(n_pieces) AS n_pieces, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_chars, count(*) FILTER (length(text) <= 400) AS n_small
+    FROM chunks c JOIN raw_counts r ON r.source = c.source GROUP BY c.source""",
+)
+def merge_small_chunks(t):
+    """How merging changes the number of chunks of every file."""
+    pieces = corpus.paragraph_chunks(corpus.split_sections(corpus_files(t), "name", "body"))
+    before = pieces.groupBy("source").agg(F.count(F.lit(1)).alias("n_pieces"))
+    size = F.length("text")
+    after = corpus.chunk_documents(corpus_files(t), "name", "body").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.sum(size).alias("n_chars"), F.count_if(size <= corpus.MERGE_CHARS).alias("n_small")
+    )
+    return before.join(after, "source")
+
+
 @query(
     "dedupe_passages",
     f"""WITH RECURSIVE {_CHUNKS}, k AS (SELECT *, row_number() OVER (PARTITION BY lower(regexp_replace(text, '\\s+', ' ', 'g')) ORDER BY source, chunk_no) AS rk FROM chunks)

@@ -208,7 +208,7 @@ def oof_union(t):
     f"""WITH {ORDERS_SPLIT}, b AS (SELECT unnest(['o_orderkey','o_custkey','o_orderstatus','o_totalprice','o_orderdate','o_orderpriority']) AS "column",
       unnest([count(*)-count(o_orderkey), count(*)-count(o_custkey), count(*)-count(o_orderstatus), count(*)-count(o_totalprice),
               count(*)-count(o_orderdate), count(*)-count(o_orderpriority)]) AS mb, count(*) AS n FROM train)
-    SELECT "column", mb AS missing_before, CASE WHEN "column" <> 'o_orderkey' THEN 0 END AS missing_after, n AS rows_before,
+    SELECT "column", mb AS missing_before, CASE WHEN "column" <> 'o_orderkey' THEN 0::BIGINT END AS missing_after, n AS rows_before,
       CASE WHEN "column" <> 'o_orderkey' THEN n END AS rows_after, CASE WHEN "column" = 'o_orderkey' THEN 'dropped' ELSE 'kept' END AS change FROM b
     UNION ALL SELECT 'o_totalprice_missing', NULL, 0, NULL, any_value(n), 'derived' FROM b""",
 )

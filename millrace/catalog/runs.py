@@ -249,11 +249,11 @@ def learnable_runs(t):
     return t.orders.select("o_orderkey", runlog.is_learnable(reason).alias("learnable"))
 
 
-@query("owner_scan", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey = 77)")
+@query("owner_scan", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
 def owner_scan(t):
-    owners = t.orders.select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("user_id"))
+    owners = t.orders.select(F.col("o_orderkey").alias("task_id"), F.col("o_orderstatus").alias("user_id"))
     rows = t.lineitem.select(F.col("l_orderkey").alias("task_id"), "l_linenumber", "l_partkey", "l_suppkey")
-    return runlog.owned_by(rows, owners, 77).withColumnRenamed("task_id", "l_orderkey")
+    return runlog.owned_by(rows, owners, "P").withColumnRenamed("task_id", "l_orderkey")
 
 
 @query("first_occurrence", f"{_TRACE} SELECT run_id, substep, min(ts) AS ts, arg_min(id, ts) AS id FROM trace WHERE type = 'substep.dispatch' GROUP BY 1, 2")

@@ -196,28 +196,33 @@ class ReplyContract:
 
 def contract_errors(json_text: Column, contract: ReplyContract) -> Column:
     """Array of ``rule:key`` for everything the reply breaks; a reply that is no object breaks all."""
-    variant = F.try_parse_json(json_text)
-
-    def member(key: str) -> Column:
-        return F.to_json(F.try_variant_get(variant, f"$.{key}", "variant"))
-
-    def kind(key: str) -> Column:
-        shape = kind_of_valid(member(key))
-        number = F.when(shape == "SCALAR", F.when(member(key).isin("true", "false"), "BOOLEAN").otherwise("NUMBER"))
-        return F.coalesce(number, shape)
-
-    checks = []
-    for key, wanted in contract.required.items():
-        checks.append(F.when(kind(key).isNull(), f"missing:{key}").when(kind(key) != wanted, f"wrong_kind:{key}"))
-    for key in contract.arrays:
-        checks.append(F.when(kind(key).isNotNull() & (kind(key) != "ARRAY"), f"not_array:{key}"))
-    for key in contract.objects:
-        checks.append(F.when(kind(key).isNotNull() & (kind(key) != "OBJECT"), f"not_object:{key}"))
-    for key in contract.forbidden:
-        checks.append(F.when(member(key).isNotNull(), f"forbidden:{key}"))
-    is_object = F.coalesce(variant.isNotNull() & F.ltrim(json_text).startswith("{"), F.lit(False))
-    # One flat list of checks, so the parsed reply is shared by all of them.
-    return F.array_compact(F.array(F.when(~is_object, "not_object"), *[F.when(is_object, c) for c in checks]))
+    keys = list(dict.fromkeys([*contract.required, *contract.arrays, *contract.objects, *contract.forbidden]))
+    names = {key: f"k{i}" for i, key in enumerate(keys)}
+
+    def members(reply: Column) -> Column:
+        """JSON text of every key the contract mentions; NULL where it is absent."""
+        found = [F.to_json(F.try_variant_get(reply, f"$.{k}", "variant")).alias(n) for k, n in names.items()]
+        return F.struct(F.to_json(reply).startswith("{").alias("is_object"), *found)
+
+    def broken(m: Column) -> Column:
+        kinds = {k: kind_of_valid(m[n]) for k, n in names.items()}
+        checks = []
+        for key, wanted in contract.required.items():
+            kind = kinds[key]
+            if wanted in ("NUMBER", "BOOLEAN"):
+                is_flag = m[names[key]].isin("true", "false")
+                kind = F.when(kind == "SCALAR", F.when(is_flag, "BOOLEAN").otherwise("NUMBER")).otherwise(kind)
+            checks.append(F.when(kind.isNull(), f"missing:{key}").when(kind != wanted, f"wrong_kind:{key}"))
+        checks += [F.when(kinds[k] != "ARRAY", f"not_array:{k}") for k in contract.arrays]
+        checks += [F.when(kinds[k] != "OBJECT", f"not_object:{k}") for k in contract.objects]
+        checks += [F.when(m[names[k]].isNotNull(), f"forbidden:{k}") for k in contract.forbidden]
+        is_object = F.coalesce(m["is_object"], F.lit(False))
+        none = F.array().cast("array<string>")
+        return F.when(is_object, F.array_compact(F.array(*checks)) if checks else none).otherwise(F.array(F.lit("not_object")))
+
+    # Arrays of one turn the parsed reply and its members into variables that are built once.
+    parsed = F.transform(F.array(F.try_parse_json(json_text)), members)
+    return F.transform(parsed, broken)[0]
 
 
 def normalise_shape(json_text: Column, lists: list[str] = (), object_lists: list[str] = (), objects: list[str] = ()) -> Column:

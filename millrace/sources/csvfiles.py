@@ -136,6 +136,13 @@ def read_strings(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return df.toDF(*[c.strip().lstrip("﻿") for c in df.columns])
 
 
+def _arrow_uri(path: str) -> str:
+    """Hadoop's spelling of a location in Arrow's."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        return path.replace("file:/", "file:///", 1)
+    return path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path
+
+
 def file_heads(listing: DataFrame, n_bytes: int = HEAD_BYTES) -> DataFrame:
     """``(path, head)``: the first bytes of every listed file as text, read inside the tasks."""
 
@@ -145,7 +152,7 @@ def file_heads(listing: DataFrame, n_bytes: int = HEAD_BYTES) -> DataFrame:
         for batch in batches:
             found = []
             for path in batch["path"]:
-                system, place = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
+                system, place = fs.FileSystem.from_uri(_arrow_uri(path))
                 with system.open_input_stream(place) as stream:
                     found.append(stream.read(n_bytes).decode("utf-8", errors="replace"))
             yield pd.DataFrame({"path": batch["path"], "head": found})

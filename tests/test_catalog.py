@@ -7,7 +7,7 @@ from millrace.catalog import load_all
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES, ORACLE = load_all()
-SLOW = {"text_baseline_cv", "tabular_baseline_cv"}
+SLOW = {"text_baseline_cv"}
 
 
 @pytest.fixture(scope="module")
