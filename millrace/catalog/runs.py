@@ -26,12 +26,12 @@ def tail_events(t):
 
 @query(
     "events_since",
-    f"""{_TRACE}, pos AS (SELECT max(ts) AS since_ts FROM trace WHERE id = 4321)
+    f"""{_TRACE}, pos AS (SELECT max(ts) AS since_ts FROM trace WHERE id = 432)
     SELECT 'known' AS place, id FROM trace WHERE ts > (SELECT since_ts FROM pos) UNION ALL SELECT 'unknown', id FROM trace""",
 )
 def events_since(t):
     events = trace_events(t)
-    known = runlog.since(events, 4321).select(F.lit("known").alias("place"), "id")
+    known = runlog.since(events, 432).select(F.lit("known").alias("place"), "id")
     return known.unionByName(runlog.since(events, -1).select(F.lit("unknown").alias("place"), "id"))
 
 
