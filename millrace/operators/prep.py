@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.numbers import to_number
 from millrace.functions.text import ABSENT_NUMBER, ABSENT_TEXT
-from millrace.operators.profile import numeric_columns, value_counts
+from millrace.operators.profile import column_modes, numeric_columns
 from millrace.operators.roles import Hints
 from millrace.plans.quantiles import DIRECT_ROWS, exact_quantiles
 from millrace.plans.ranks import with_share
@@ -63,13 +63,7 @@ def fit_imputation(train: DataFrame, target: str, direct_rows: int = DIRECT_ROWS
     numbers = [c for c in numeric_columns(train) if c != target]
     texts = [c for c in text_columns(train) if c != target]
     medians = exact_quantiles(train, numbers, [0.5], direct_rows)
-    modes = {}
-    if texts:
-        counts = value_counts(train, texts).where("value is not null")
-        best = counts.groupBy("column").agg(
-            F.min_by("value", F.struct((-F.col("n")).alias("n"), "value")).alias("value")
-        )
-        modes = {r["column"]: r["value"] for r in best.collect()}  # one row per column
+    modes = column_modes(train, texts) if texts else {}
     return ImputeValues(
         numbers={c: (medians[c][0] if medians[c][0] is not None else 0.0) for c in numbers},
         texts={c: modes.get(c, NO_MODE) for c in texts},

@@ -52,6 +52,33 @@ def as_text(field: T.StructField) -> Column:
     return column.cast("string")
 
 
+def counting_form(value: Column) -> Column:
+    """A text as it is counted: long ones by their SHA-256."""
+    return F.when(F.length(value) > LONG_CELL, F.sha2(value, 256)).otherwise(value)
+
+
+def column_modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """Most frequent text per column, the smallest of tied ones; columns without a value are left out.
+
+    Values are counted in their short form. The texts themselves are only looked at afterwards:
+    where no value repeats, the mode is the plain minimum, otherwise the minimum over the rows
+    whose counting form has the top count.
+    """
+    counts = value_counts(df, columns, whole=[]).where("value is not null")
+    tops = {r["column"]: r["top"] for r in counts.groupBy("column").agg(F.max("n").alias("top")).collect()}
+    unrepeated = [c for c in columns if tops.get(c) == 1]
+    repeated = [c for c in columns if tops.get(c, 0) > 1]
+    modes: dict[str, str] = {}
+    if unrepeated:
+        row = df.agg(*[F.min(c).alias(c) for c in unrepeated]).first()
+        modes.update({c: row[c] for c in unrepeated})
+    for c in repeated:
+        best = counts.where((F.col("column") == c) & (F.col("n") == tops[c])).select(F.col("value").alias("__form"))
+        rows = df.select(F.col(c).alias("value")).where("value is not null")
+        modes[c] = rows.join(best, counting_form(F.col("value")) == F.col("__form"), "left_semi").agg(F.min("value")).first()[0]
+    return modes
+
+
 def value_counts(df: DataFrame, columns: list[str] | None = None, whole: list[str] | None = None) -> DataFrame:
     """Long table ``(column, value, n)``; NULL is kept as a value of its own.
 
@@ -65,9 +92,8 @@ def value_counts(df: DataFrame, columns: list[str] | None = None, whole: list[st
 
     def counted(name: str) -> Column:
         value = as_text(df.schema[name])
-        if name in kept or family(df.schema[name].dataType) not in ("string", "nested"):
-            return value
-        return F.when(F.length(value) > LONG_CELL, F.sha2(value, 256)).otherwise(value)
+        digested = name not in kept and family(df.schema[name].dataType) in ("string", "nested")
+        return counting_form(value) if digested else value
 
     text = df.select(*[counted(c).alias(c) for c in chosen])
     long = text.unpivot([], chosen, "column", "value")

@@ -70,6 +70,13 @@ def test_imputation_is_fitted_on_train_only(spark):
     assert filled.where("x is null or s is null").isEmpty()
 
 
+def test_modes_of_long_and_unrepeated_texts(spark):
+    long_b, long_a = "b" * 200, "a" * 200
+    rows = [(long_b, "z", None, "k"), (long_a, "y", None, "k"), (long_b, "x", None, "j"), (long_a, None, None, "j")]
+    df = spark.createDataFrame(rows, "l string, u string, n string, s string")
+    assert profile.column_modes(df, ["l", "u", "n", "s"]) == {"l": long_a, "u": "x", "s": "j"}
+
+
 def test_stratified_holdout_shares(spark):
     df = spark.range(1000).withColumn("y", F.when(F.col("id") < 900, 0).otherwise(1))
     split = prep.stratified_holdout(df, "y", ["id"]).where("is_holdout").groupBy("y").count()
