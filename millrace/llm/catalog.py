@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm.common import table
 from millrace.session import shared_folder
@@ -31,6 +32,15 @@ def op1_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.substrings import dedup_substrings
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.coalesce("text", F.lit("")).cast("binary")
+    return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
 @query
 def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.packing import pack_documents
