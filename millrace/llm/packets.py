@@ -34,7 +34,7 @@ PACKET_BYTES = 8 << 20
 CELLS_PER_BYTE = 4
 SLICE_BITS = 27
 CACHE_WORDS = 300_000
-MOST = 255
+MOST = 65535
 
 
 # Rows in packets
@@ -189,12 +189,12 @@ class Cells:
             a, b = self.edges[s], self.edges[s + 1]
             if b > a:
                 local = self.cells[a:b] & np.uint64((1 << SLICE_BITS) - 1)
-                yield s, join_parts(encode_sorted(local), squeeze(np.minimum(self.counts[a:b], MOST).astype("u1").tobytes()))
+                yield s, join_parts(encode_sorted(local), squeeze(np.minimum(self.counts[a:b], MOST).astype("<u2").tobytes()))
 
     def estimates(self, replies: dict[int, bytes]) -> np.ndarray:
         """The estimated count of each hash that the object was made from."""
-        parts = [np.frombuffer(unsqueeze(replies[s]), "u1") for s in sorted(replies)]
-        return np.concatenate(parts)[self.inverse] if parts else np.zeros(0, "u1")
+        parts = [np.frombuffer(unsqueeze(replies[s]), "<u2") for s in sorted(replies)]
+        return np.concatenate(parts)[self.inverse] if parts else np.zeros(0, "<u2")
 
 
 def _merge_counts(bodies: list[bytes]) -> list[bytes]:
@@ -202,9 +202,9 @@ def _merge_counts(bodies: list[bytes]) -> list[bytes]:
     for body in bodies:
         local, n = split_parts(body)
         cells.append(decode_sorted(local))
-        counts.append(np.frombuffer(unsqueeze(n), "u1"))
+        counts.append(np.frombuffer(unsqueeze(n), "<u2"))
     _, inverse = np.unique(np.concatenate(cells), return_inverse=True)
-    total = np.minimum(np.bincount(inverse, np.concatenate(counts)), MOST).astype("u1")[inverse]
+    total = np.minimum(np.bincount(inverse, np.concatenate(counts)), MOST).astype("<u2")[inverse]
     ends = np.cumsum([len(c) for c in cells])
     return [squeeze(part.tobytes()) for part in np.split(total, ends[:-1])]
 
