@@ -89,6 +89,13 @@ def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@query
+def op8_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.hnsw import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.tokenfiles import token_file_rows
