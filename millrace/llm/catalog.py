@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import held_out, table
 from millrace.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +43,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.llm.toxicity import add_scores, fit, held_out
+    from millrace.llm.toxicity import add_scores, fit
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = add_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
@@ -99,6 +99,15 @@ def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@query
+def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.ppm import add_languages, fit
+
+    docs = table(spark, sf_dir, "documents")
+    found = add_languages(docs.select("doc_id", "text"), fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op8_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.hnsw import nearest

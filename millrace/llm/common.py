@@ -30,6 +30,11 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def held_out(doc_id: Column, folds: int = 5) -> Column:
+    """Whether crc32 of the doc_id as text is divisible by ``folds``; a null doc_id is not held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
+
+
 def with_position(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """Add the 0-based position of each row inside its group, without bringing a group into one task.
 

@@ -28,10 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.llm.common import held_out
+
 EXAMPLES = 4096
 TERMS = 2048
 LEAST_CHI2 = 30.0
@@ -43,15 +45,9 @@ BLOCK = 64
 STEMS = range(3, 9)
 CACHE_WORDS = 300_000
 COUNTED_TERMS = 400_000
-FOLDS = 5
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
-def held_out(doc_id: Column) -> Column:
-    remainder = F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
-    return F.coalesce(remainder == 0, F.lit(False))
-
-
 def features(word: str) -> set[str]:
     """A raw word without the punctuation around it, in lower case, and its beginnings (with a dash)."""
     word = _EDGES.sub("", word).lower()

@@ -6,7 +6,8 @@ import numpy as np
 from conftest import words
 from pyspark.sql import functions as F
 
-from millrace.llm.toxicity import BlockMaxIndex, add_scores, features, fit, held_out
+from millrace.llm.common import held_out
+from millrace.llm.toxicity import BlockMaxIndex, add_scores, features, fit
 
 SF = "/root/testdata/sf0.1"
 
