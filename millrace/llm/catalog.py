@@ -121,3 +121,12 @@ def op9_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return token_file_rows(spark, docs, shared_folder(spark, "token-files"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query
+def op10_html_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.extraction import extract, fit
+
+    pages = table(spark, sf_dir, "pages")
+    found = extract(pages.select("page_id", "url", "html"), fit(pages))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
