@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import written
-from millrace.llm.tokens import TextEncoder
+from millrace.llm.tokens import text_encoder
 
 MAX_TOKENS = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
@@ -116,10 +116,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = MAX_TOKENS,
     def first(batches):
         # Sequence numbers of a task lie in a range of its own.
         packer = _Packer((TaskContext.get().partitionId() + 1) << 32, capacity)
-        encoder = TextEncoder(tokenizer)
+        encoder = text_encoder(tokenizer)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.encode(text or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(texts)):
+                ids += end
                 packer.add(doc_id, 0, ids, len(ids) // 4)
                 if packer.held >= block_sequences * capacity:
                     packer.pack(packer.held // capacity)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.tokens import TextEncoder
+from millrace.llm.tokens import text_encoder
 from millrace.session import cut_lineage
 
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -109,7 +109,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     def write(batches):
         part, name, spool = TaskContext.get().partitionId(), f"part-{TaskContext.get().partitionId():06d}.zst", None
-        encoder = TextEncoder(tokenizer)
+        encoder = text_encoder(tokenizer)
         doc_ids, n_ids, frames = [], 0, None
         fs, root = _open(folder)
         for batch in batches:
@@ -117,8 +117,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 fs.create_dir(root)
                 spool = f"{root}/_{name}.{uuid.uuid4().hex}"
                 frames = FrameWriter(fs.open_output_stream(spool))
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = encoder.encode(text or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(texts)):
+                data = ids + end
                 frames.add(data)
                 doc_ids.append(doc_id)
                 n_ids += len(data) // 4

@@ -1,68 +1,128 @@
 """Token ids of whole texts, by the tokenizers library, with a cache of words.
 
 Both tokenizers split a text before their merges, and never join characters across a single space or
-line break, so the ids of a text are those of its words in turn. Words repeat, so most ids come from a
-bounded cache instead of the merges. Where a text has runs of white space, byte-level pieces are cut only
-at single spaces between other characters. Tests compare with one call for the whole text.
+line break, nor letters with the punctuation behind them, so the ids of a text are those of its words in
+turn. Words repeat, so most ids come from a bounded cache; the words that a block of texts has beyond it
+are encoded in one call. A byte-level text with runs of white space is cut only at single spaces between
+other characters. Tests compare with one call for the whole text.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 
 import numpy as np
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
+BLOCK_CHARS = 1 << 20
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
-
-class _Unsafe(Exception):
-    pass
-
-
-class _Cache(dict):
-    def __init__(self, encode, prefix: str, strict: bool):
-        super().__init__()
-        self.encode, self.prefix, self.strict = encode, prefix, strict
-
-    def __missing__(self, word: str) -> bytes:
-        if self.strict and (not word or word[0].isspace() or word[-1].isspace()):
-            raise _Unsafe
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = self.encode(self.prefix + word) if word else b""
-        if len(word) <= 64:
-            self[word] = found
-        return found
+_ENDINGS = ".,;:!?%&$#*"
+
+
+class _Cache:
+    """ids of words in two generations: words not used for a whole generation are forgotten."""
+
+    def __init__(self, encoder: "TextEncoder", prefix: str):
+        self.encoder, self.prefix = encoder, prefix
+        self.new: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.new) > CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        new, old, parts = self.new, self.old, []
+        for word in words:
+            if word in new:
+                continue
+            if word in old:
+                new[word] = old[word]
+            elif self.encoder.unsafe(word):
+                new[word] = None
+            else:
+                root = word.rstrip(_ENDINGS)
+                if not root or root is word or not root[-1].isalpha():
+                    root = word
+                parts.append((word, self.encoder.folded(root), word[len(root) :]))
+        roots = [r for r in dict.fromkeys(r for _, r, _ in parts) if r not in new and r not in old]
+        ids = dict(zip(roots, self.encoder.direct([self.prefix + r if r else "" for r in roots])))
+        endings = self.encoder.endings
+        fresh = [e for e in {e for _, _, e in parts} if e not in endings]
+        endings.update(zip(fresh, self.encoder.direct(fresh)))
+        for word, root, ending in parts:
+            known = ids.get(root)
+            if known is None:
+                known = new[root] if root in new else old[root]
+            new[word] = known + endings[ending]
+        for root, known in ids.items():
+            new[root] = known
 
 
 class TextEncoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers."""
+    """Ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.drops_space = self.tokenizer.normalizer is not None
-        self.plain = _Cache(self.direct, "", not self.drops_space)
-        self.spaced = _Cache(self.direct, " ", not self.drops_space)
-        self.line_break = self.direct("\n")
-
-    def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
+        self.endings: dict[str, bytes] = {"": b""}
+        self.plain, self.spaced = _Cache(self, ""), _Cache(self, " ")
+        self.line_break = self.direct(["\n"])[0]
+
+    def direct(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def unsafe(self, word: str) -> bool:
+        return not self.drops_space and (not word or word[0].isspace() or word[-1].isspace())
+
+    def folded(self, word: str) -> str:
+        return word.lower() if self.drops_space and word.isascii() else word
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        out, block, size = [], [], 0
+        for text in texts:
+            block.append(text)
+            size += len(text)
+            if size >= BLOCK_CHARS:
+                out += self._block(block)
+                block, size = [], 0
+        return out + self._block(block)
+
+    def _block(self, texts: list[str]) -> list[bytes]:
         if self.drops_space:
-            return b"".join(map(self.plain.__getitem__, text.replace("\n", " ").split(" ")))
-        if not text:
-            return b""
-        try:
-            lines = []
-            for line in text.split("\n"):
-                first, *rest = line.split(" ")
-                lines.append(self.plain[first] + b"".join(map(self.spaced.__getitem__, rest)))
-            return self.line_break.join(lines)
-        except _Unsafe:
-            first, *rest = _SINGLE_SPACE.split(text)
-            return self.direct(first) + b"".join(self.direct(" " + piece) for piece in rest)
+            pieces = [t.replace("\n", " ").split(" ") for t in texts]
+            self.plain.learn(set().union(*pieces))
+            known = self.plain.new.__getitem__
+            return [b"".join(map(known, p)) for p in pieces]
+        lines = [[line.split(" ") for line in t.split("\n")] for t in texts]
+        self.plain.learn({words[0] for text in lines for words in text})
+        rest: set[str] = set()
+        for text in lines:
+            for words in text:
+                rest.update(words[1:])
+        self.spaced.learn(rest)
+        first, later = self.plain.new, self.spaced.new.__getitem__
+        out = []
+        for text, cut in zip(texts, lines):
+            if not text:
+                out.append(b"")
+                continue
+            try:
+                out.append(self.line_break.join([first[w[0]] + b"".join(map(later, w[1:])) for w in cut]))
+            except TypeError:  # an unsafe word: white space at a cut
+                head, *tail = _SINGLE_SPACE.split(text)
+                out.append(b"".join(self.direct([head, *[" " + piece for piece in tail]])))
+        return out
+
+
+def text_encoder(path: str) -> TextEncoder:
+    """One encoder for each worker process, so that its cache outlives a task."""
+    kept = sys.__dict__.setdefault("_text_encoders", {})
+    if path not in kept:
+        kept[path] = TextEncoder(path)
+    return kept[path]

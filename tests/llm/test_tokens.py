@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from millrace.llm import tokens
 from millrace.llm.packing import pack_block, pack_documents
 from millrace.llm.sharding import longest_first, shard_documents
 from millrace.llm.tokenfiles import document_ids, read_token_files, write_token_files
@@ -34,8 +35,18 @@ def test_cached_words_give_the_ids_of_the_whole_text(path, edge_rows, documents)
     encoder = TextEncoder(path)
     texts = [t or "" for _, t in edge_rows] + [r.text or "" for r in documents.limit(60).collect()]
     texts += ["a  b", " a", "a ", "a\n\nb", "a \n b", "a\tb", "x  y", "a  b", "x\x1c y", "don't  stop 's", "́a ́b", "tab\t", "a\r\nb"]
-    for text in texts:
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole(path, text, False), text[:50]
+    texts += ["İstanbul ΣΑΣ, ΣΑΣ", "A,b A, a, a,, 3, 3,", "x'.s o'.", "Don'T, WE'LL.", "é, É,", "%%% ,, ."]
+    for _ in range(2):
+        for text, ids in zip(texts, encoder.encode_many(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == whole(path, text, False), text[:50]
+
+
+def test_forgetting_words_changes_nothing(documents, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+    monkeypatch.setattr(tokens, "BLOCK_CHARS", 500)
+    texts = [r.text or "" for r in documents.limit(40).collect()]
+    for path in (WORD, BYTE):
+        assert TextEncoder(path).encode_many(texts) == [np.array(whole(path, t, False), "<u4").tobytes() for t in texts]
 
 
 def test_shards_hold_groups_together_and_are_near_equal(make_docs, edge_rows, documents):
