@@ -12,7 +12,7 @@ rarest shingle. The steps:
 3. a candidate holds the window if all its shingles stand at their places, which is checked by joining them
    with the matches: runs of three words at every place are the 13 words themselves.
 
-The benchmark shingles are broadcast when their count is under ``BROADCAST_SHINGLES``; beyond that Spark
+The benchmark shingles are broadcast while they are at most ``BROADCAST_ROWS``; beyond that Spark
 joins them by shuffling. Texts are never shuffled.
 
 Defined cases: a null text has no words and is not contaminated; items without words have no windows; an
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import written
 
 WINDOW, SHINGLE = 13, 3
-BROADCAST_SHINGLES = 1_000_000
+BROADCAST_ROWS = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -62,7 +62,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
 
 
 def _maybe_broadcast(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_SHINGLES else df
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -124,6 +124,18 @@ def window_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return _measured(docs, benchmark, window, one_in).drop("hash")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20) -> DataFrame:
+    """``docs`` without the contaminated ones."""
+    measured = _measured(docs.select("doc_id", "text"), benchmark, window, one_in)
+    bad = written(measured.filter("contaminated").select(F.col("doc_id").alias("__doc"), F.col("hash").alias("__hash")).distinct(), "contaminated")
+    hashed = F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))
+    return docs.join(_maybe_broadcast(bad, bad.count()), docs["doc_id"].eqNullSafe(F.col("__doc")) & (hashed == F.col("__hash")), "left_anti")
+
+
+def _measured(docs: DataFrame, benchmark: DataFrame, window: int, one_in: int) -> DataFrame:
     windows, owners = item_windows(benchmark, window)
     hits = written(window_hits(docs, windows), "benchmark-hits")
     key = ["doc", "hash"]
@@ -143,6 +155,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, o
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
+        "hash",
         F.col("doc").alias("doc_id"),
         "n_words",
         n_hit.alias("n_hit"),

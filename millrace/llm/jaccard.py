@@ -10,10 +10,12 @@ nothing. The join therefore works on two levels.
   least ceil(0.85 n) of the n shingles, so its own first pivot is among the first n - ceil(0.85 n) + 1 here:
   the boundary window over which a set is replicated. Pivots whose estimate is 1 hold one set and are left
   out; the sketch never underestimates, so no pair is lost.
-* Inside a region, documents are the pivots. One pivot is compared with all others, which links its
-  neighbours; members that are then in one component need no further comparison, and for the others the
-  exact distances d(x, p), d(y, p) rule out every pair with |d(x, p) - d(y, p)| > 0.15. Regions with pairs
-  left are joined again with a new pivot, until the pairs left are few enough to be compared directly.
+* Inside a region, documents are the pivots. The most central one (with the fewest rarer shingles) is compared
+  with all others, which links its neighbours. Members that are then in one component need no further
+  comparison, so only members outside a region's largest component look for partners: among those of a size
+  that their own size and the pivot's place allow (sizes are joined in narrow bands), and where the exact
+  distances d(x, p), d(y, p) do not rule the pair out by |d(x, p) - d(y, p)| > 0.15. Regions with many pairs
+  left are joined again around their next pivot, until the pairs left are few enough to be compared directly.
 
 Equal sets are one class from the start; a group of copies is one node and is never expanded into pairs.
 Pairs are compared by full sets (64-bit hashes of the shingles) made from the whole texts again.
@@ -27,6 +29,7 @@ columns are not read; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,10 @@ from millrace.session import cut_lineage
 
 SHINGLE = 4
 PERCENT = 85
-#: Cross-component pairs for each region member, up to which pairs are compared directly.
-DIRECT_SHARE = 2
+#: Pairs for each region member, up to which the pairs left are compared directly.
+DIRECT_SHARE = 4
+#: Sizes in one band differ by less than this share.
+BAND = 0.02
 
 
 def shingle_set(text: bytes | None, size: int, cache: P.WordHashes) -> np.ndarray:
@@ -69,7 +74,7 @@ def _close(na, nb, shared, percent: int):
 
 def shingle_entries(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Packets of the documents, and one row per document: doc_id, packet, row, n, class, pivots, places."""
-    packets = P.pack_rows(docs.select("doc_id", "text"), "jaccard-packets")
+    packets = P.pack_rows(docs, "jaccard-packets")
     bits = P.cell_bits(packets)
 
     def hashes(batch, cache=P.WordHashes()):
@@ -95,7 +100,7 @@ def shingle_entries(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame
                     names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
                 k = len(sets)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": body.column(0), "packet": pa.array([row["packet"]] * k, pa.int64()), "row": pa.array(range(k), pa.int32()), "n": pa.array([len(s) for s in sets], pa.int32()),
+                    "doc_id": body.column(body.schema.get_field_index("doc_id")), "packet": pa.array([row["packet"]] * k, pa.int64()), "row": pa.array(range(k), pa.int32()), "n": pa.array([len(s) for s in sets], pa.int32()),
                     "class": pa.array(names, pa.binary()), "pivots": pa.array(pivots, pa.list_(pa.int64())), "places": pa.array(places, pa.list_(pa.int32())),
                 })
 
@@ -113,7 +118,8 @@ def class_texts(packets: DataFrame, rows: DataFrame, members: DataFrame) -> Data
     def pick(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                texts = P.unpack(row["body"]).column(1).cast(pa.binary())
+                body = P.unpack(row["body"])
+                texts = body.column(body.schema.get_field_index("text")).cast(pa.binary())
                 yield pa.RecordBatch.from_pydict({"class": pa.array([w["class"] for w in row["wanted"]], pa.binary()), "text": texts.take(pa.array([w["row"] for w in row["wanted"]], pa.int32()))})
 
     return written(packets.select("packet", "body").join(by_packet, "packet").mapInArrow(pick, "class binary, text binary"), "jaccard-texts")
@@ -139,19 +145,29 @@ def compare_pairs(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return written(rows.mapInArrow(compare, "a binary, b binary, na int, nb int, shared int"), "jaccard-pairs")
 
 
-def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, direct_share: float = DIRECT_SHARE) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of documents with their class, and class -> component for classes that are linked."""
+def jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, direct_share: float = DIRECT_SHARE) -> tuple[DataFrame, DataFrame]:
+    """Packets of ``docs``, and one row per document: doc_id, packet, row, n, group (null without shingles)."""
     packets, rows = shingle_entries(docs, size, percent)
+    labels = _class_components(packets, rows, size, percent, direct_share)
+    rows = rows.select("doc_id", "packet", "row", "n", "class")
+    if labels is None:
+        return packets, rows.withColumnRenamed("class", "group")
+    joined = rows.join(labels, F.col("class") == F.col("node"), "left")
+    return packets, joined.select("doc_id", "packet", "row", "n", F.coalesce("component", "class").alias("group"))
+
+
+def _class_components(packets: DataFrame, rows: DataFrame, size: int, percent: int, direct_share: float) -> DataFrame | None:
+    """Rows node (class), component for the classes that are linked."""
     flat = rows.filter(F.size("pivots") > 0).select("class", "n", F.explode(F.arrays_zip("pivots", "places")).alias("e"))
     members = flat.groupBy(F.col("e.pivots").alias("pivot"), "class").agg(F.min("n").alias("n"), F.min("e.places").alias("place"))
     many = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("pivot")
     regions = written(members.join(many, "pivot", "left_semi").withColumns({"component": F.col("class"), "d": F.lit(None).cast("double")}), "jaccard-regions")
     limit = direct_share * regions.count()
-    if not limit and regions.isEmpty():
-        return rows, None
+    if regions.isEmpty():
+        return None
     texts = class_texts(packets, rows, regions)
     reach = 1 - percent / 100 + 1e-9
-    found = None
+    labels = None
 
     def possible(left: str, right: str):
         """Lengths, places and the triangle inequality allow the pair; a region's own pivot is the first they share."""
@@ -161,25 +177,36 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
         near = F.coalesce(F.abs(d1 - d2) <= reach, F.lit(True))
         return lengths & _close(n1, n2, shared, percent) & near & (F.col(f"{left}.component") != F.col(f"{right}.component"))
 
+    band = lambda n: F.floor(F.log(n) / math.log1p(BAND)).cast("int")
     while True:
-        sizes = regions.groupBy("pivot", "component").count().groupBy("pivot").agg(F.sum("count").alias("k"), F.sum(F.col("count") * F.col("count")).alias("same"))
-        left = sizes.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2)).first()[0] or 0
-        if not left:
-            break
-        direct = left <= limit
-        if direct:
-            other = regions.alias("y")
-            pairs = regions.alias("x").join(other, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.class") < F.col("y.class")) & possible("x", "y"))
-        else:
-            centre = regions.groupBy("pivot").agg(F.min(F.struct("class", "n", "place", "component", "d")).alias("c")).select(F.col("pivot").alias("of"), "c.*").alias("y")
+        centre = regions.groupBy("pivot").agg(F.min(F.struct("place", "class", "n", "component", "d")).alias("c")).select(F.col("pivot").alias("of"), "c.*").alias("y")
+        direct = False
+        if labels is not None:
+            shares = regions.groupBy("pivot", "component").count().groupBy("pivot").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
+            marked = regions.join(shares, "pivot").withColumn("out", F.col("component") != F.col("largest"))
+            # Partner sizes that the lengths and the shingles from the pivot on allow.
+            least = F.ceil(F.col("n") * percent / 100)
+            most = F.least(F.floor(F.col("n") * 100 / percent), F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent) - F.col("n"))
+            seeking = marked.filter(F.col("out") & (least <= most)).withColumn("band", F.explode(F.sequence(band(least), band(most))))
+            partners = marked.withColumn("band", band(F.col("n")))
+            once = ~F.col("y.out") | (F.col("x.class") < F.col("y.class"))
+            pairs = seeking.alias("x").join(partners.alias("y"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.band") == F.col("y.band")) & once & possible("x", "y"))
+            pairs = pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
+            left = pairs.count()
+            if not left:
+                break
+            direct = left <= limit
+        if not direct:
             pairs = regions.alias("x").join(centre, (F.col("x.pivot") == F.col("y.of")) & (F.col("x.class") != F.col("y.class")) & possible("x", "y"))
-        pairs = pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+            pairs = pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+        pairs = pairs.distinct()
         compared = compare_pairs(pairs, texts, size)
         links = compared.filter(_close(F.col("na"), F.col("nb"), F.col("shared"), percent)).select("a", "b")
-        found = links if found is None else found.union(links)
-        labels = cut_lineage(connected_components(found))
+        if labels is not None:  # stars stand for all links found before
+            links = links.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = cut_lineage(connected_components(links))
         if direct:
-            return rows, labels
+            return labels
         # The pivot has met all others of its region; what is left is joined around the next one.
         distance = compared.select("a", "b", (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("measured"))
         after = (
@@ -194,17 +221,35 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
         after = cut_lineage(after)
         open_regions = after.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("pivot")
         regions = cut_lineage(after.join(open_regions, "pivot", "left_semi"))
-    return rows, labels if found is not None else None
+    return labels
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, direct_share: float = DIRECT_SHARE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    rows, labels = jaccard_links(docs, size, percent, direct_share)
-    rows = rows.select("doc_id", "packet", "row", F.col("n").cast("long").alias("n_shingles"), "class")
-    if labels is not None:
-        rows = rows.join(labels, F.col("class") == F.col("node"), "left").withColumn("group", F.coalesce("component", "class"))
-    else:
-        rows = rows.withColumn("group", F.col("class"))
+    _, rows = jaccard_groups(docs.select("doc_id", "text"), size, percent, direct_share)
     least = rows.filter("group IS NOT NULL").groupBy(F.col("group").alias("of")).agg(F.min("doc_id").alias("least"))
     named = rows.join(least, F.col("group") == F.col("of"), "left")
-    return named.select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    component = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+
+
+def keep_first_of_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each linked group: that of the smallest doc_id (a null one counts as largest;
+    of equal ones the row read first). Rows without shingles stay."""
+    packets, rows = jaccard_groups(docs, size, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "packet", "row")
+    first = rows.filter("group IS NOT NULL").groupBy(F.col("group").alias("of")).agg(F.min(place).alias("first"))
+    gone = rows.join(first, F.col("group") == F.col("of")).filter((F.col("first.packet") != F.col("packet")) | (F.col("first.row") != F.col("row")))
+    by_packet = gone.groupBy("packet").agg(F.collect_list("row").alias("gone"))
+    names = docs.columns
+
+    def keep(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                body = P.unpack(row["body"])
+                stay = np.ones(len(body), dtype=bool)
+                stay[np.array(row["gone"] or [], dtype=np.int64)] = False
+                kept = body.filter(pa.array(stay))
+                yield pa.RecordBatch.from_arrays(kept.columns, names=names)
+
+    return packets.select("packet", "body").join(by_packet, "packet", "left").select("body", "gone").mapInArrow(keep, docs.schema)

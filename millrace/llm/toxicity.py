@@ -36,7 +36,7 @@ from millrace.llm.common import held_out
 
 EXAMPLES = 4096
 TERMS = 2048
-LEAST_CHI2 = 30.0
+LEAST_CHI2 = 25.0
 LEAST_RATIO = 10.0
 #: Weight of the base rate among the votes: neighbours that are hardly similar decide little.
 BASE_VOTES = 0.3

@@ -65,7 +65,7 @@ def planted():
 
 @pytest.mark.parametrize("broadcast", [10**6, 0])
 def test_planted(make_docs, items, edge_rows, monkeypatch, broadcast):
-    monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", broadcast)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
     rows = planted() + edge_rows
     assert engine(contamination(make_docs(rows).repartition(3), items)) == brute(rows, ITEMS)
 
