@@ -41,7 +41,7 @@ def impute_train_stats(t):
 
 _IMPUTED = f"""WITH {ORDERS_SPLIT}, {_MODES},
     filled AS (SELECT 'train' AS side, train.* EXCLUDE (o_orderstatus) FROM train UNION ALL SELECT 'test', test.* FROM test)
-    SELECT side, CAST(o_orderkey AS DOUBLE) AS o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey,
+    SELECT side, o_orderkey, o_custkey,
       round(coalesce(o_totalprice, p), 6) AS o_totalprice, o_orderdate, coalesce(o_orderpriority, mode) AS o_orderpriority
     FROM filled, medians, modes"""
 

@@ -27,6 +27,8 @@ class ImputeValues:
 
     numbers: dict[str, float]
     texts: dict[str, str]
+    #: Whole-number columns without gaps in train: they keep their type.
+    complete: tuple[str, ...] = ()
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -58,23 +60,33 @@ def fill_structural_absence(df: DataFrame, columns) -> DataFrame:
     return df.withColumns(fills) if fills else df
 
 
-def fit_imputation(train: DataFrame, target: str, direct_rows: int = DIRECT_ROWS) -> ImputeValues:
-    """Exact medians (0.0 when a column is empty) and modes (smallest of the tied values)."""
+def fit_imputation(train: DataFrame, target: str, direct_rows: int = DIRECT_ROWS, id_column: str | None = None) -> ImputeValues:
+    """Exact medians (0.0 when a column is empty) and modes (smallest of the tied values); never of the id."""
+    train = train.drop(*[c for c in (id_column,) if c])
     numbers = [c for c in numeric_columns(train) if c != target]
     texts = [c for c in text_columns(train) if c != target]
     medians = exact_quantiles(train, numbers, [0.5], direct_rows)
     modes = column_modes(train, texts) if texts else {}
+    whole = [c for c in numbers if isinstance(train.schema[c].dataType, T.IntegralType)]
+    gaps = train.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in whole]).first() if whole else {}
     return ImputeValues(
         numbers={c: (medians[c][0] if medians[c][0] is not None else 0.0) for c in numbers},
         texts={c: modes.get(c, NO_MODE) for c in texts},
+        complete=tuple(c for c in whole if not gaps[c]),
     )
 
 
 def apply_imputation(df: DataFrame, values: ImputeValues) -> DataFrame:
-    """Fill the columns the fit knows; whole-number columns that get a median become doubles."""
+    """Fill the columns the fit knows.
+
+    Whole-number columns with gaps in train become doubles, as their median may not be whole. Those without
+    keep their type and all their digits; a gap that only another table has gets the rounded median.
+    """
     fills = {}
     for c, v in values.numbers.items():
-        if c in df.columns:
+        if c in df.columns and c in values.complete:
+            fills[c] = F.coalesce(F.col(c), F.lit(round(v)).cast(df.schema[c].dataType))
+        elif c in df.columns:
             fills[c] = F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(float(v)))
     for c, v in values.texts.items():
         if c in df.columns:
@@ -82,10 +94,10 @@ def apply_imputation(df: DataFrame, values: ImputeValues) -> DataFrame:
     return df.withColumns(fills) if fills else df
 
 
-def clean(train: DataFrame, test: DataFrame | None, target: str, hints: Hints = Hints()):
+def clean(train: DataFrame, test: DataFrame | None, target: str, hints: Hints = Hints(), id_column: str | None = None):
     """Structural-absence fill followed by imputation; returns train, test and the fitted values."""
     train = fill_structural_absence(train, hints.na_means_absent)
-    values = fit_imputation(train, target)
+    values = fit_imputation(train, target, id_column=id_column)
     if test is not None:
         test = apply_imputation(fill_structural_absence(test, hints.na_means_absent), values)
     return apply_imputation(train, values), test, values

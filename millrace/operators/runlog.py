@@ -300,35 +300,33 @@ def correlate(events: DataFrame, records: DataFrame, hot_rows: int = HOT_ROWS) -
     )
 
 
-def event_tree(nodes: DataFrame, max_depth: int = 1 << 12) -> DataFrame:
+def event_tree(nodes: DataFrame) -> DataFrame:
     """Depth and path of every node ``(id, parent_id)``; siblings sort by id.
 
     Each round doubles the distance walked towards the root, so a tree of depth d takes about
-    log2(d) joins. Nodes that reached a root leave the working set.
+    log2(d) joins. Nodes that reached a root leave the working set, and so do nodes that meet
+    themselves or another node twice: nodes on or below a cycle have NULL depth and path.
     """
     ids = nodes.select(F.col("id").alias("__known"))
     linked = nodes.join(ids, F.col("parent_id") == F.col("__known"), "left").select(
-        "id", F.col("__known").alias("up"), F.array(F.col("id")).alias("path")
+        "id", F.col("__known").alias("up"), F.array(F.col("id")).alias("path"), F.col("__known").eqNullSafe(F.col("id")).alias("bad")
     )
     table = cut_lineage(linked)
-    finished = table.where("up is null")
-    walking = table.where("up is not null")
-    depth = 1
+    finished = table.where("up is null or bad")
+    walking = table.where("up is not null and not bad")
     while not walking.isEmpty():
-        if depth > max_depth:
-            raise ValueError("the parent links form a cycle")
         hop = finished.unionByName(walking).select(
-            F.col("id").alias("__id"), F.col("up").alias("__up"), F.col("path").alias("__path")
+            F.col("id").alias("__id"), F.col("up").alias("__up"), F.col("path").alias("__path"), F.col("bad").alias("__bad")
         )
+        whole = F.concat("__path", "path")
+        again = F.col("__bad") | F.arrays_overlap("__path", "path") | F.coalesce(F.array_contains(whole, F.col("__up")), F.lit(False))
         stepped = cut_lineage(
-            walking.join(hop, F.col("up") == F.col("__id")).select(
-                "id", F.col("__up").alias("up"), F.concat("__path", "path").alias("path")
-            )
+            walking.join(hop, F.col("up") == F.col("__id")).select("id", F.col("__up").alias("up"), whole.alias("path"), again.alias("bad"))
         )
-        finished = finished.unionByName(stepped.where("up is null"))
-        walking = stepped.where("up is not null")
-        depth *= 2
-    return finished.select("id", (F.size("path") - 1).alias("depth"), "path")
+        finished = finished.unionByName(stepped.where("up is null or bad"))
+        walking = stepped.where("up is not null and not bad")
+    sound = ~F.col("bad")
+    return finished.select("id", F.when(sound, F.size("path") - 1).alias("depth"), F.when(sound, F.col("path")).alias("path"))
 
 
 def process_view(runs: DataFrame, events: DataFrame, substeps: DataFrame) -> DataFrame:

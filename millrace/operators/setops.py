@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_JSON_DEPTH = 6
+#: Levels that are opened in one pass over the rows.
+LEVELS = 4
 
 
 def ordered_distinct(*lists: Column) -> Column:
@@ -18,11 +19,11 @@ def map_difference(base: Column, overlay: Column) -> Column:
     return F.map_filter(overlay, lambda k, v: ~(F.map_contains_key(base, k) & F.try_element_at(base, k).eqNullSafe(v)))
 
 
-def json_difference(df: DataFrame, key: str, base: str, overlay: str, depth: int = MAX_JSON_DEPTH) -> DataFrame:
+def json_difference(df: DataFrame, key: str, base: str, overlay: str, levels: int = LEVELS) -> DataFrame:
     """``(key, path, value)`` for every leaf of ``overlay`` that ``base`` lacks or has differently.
 
-    Objects present on both sides are opened level by level inside the row; anything else is a
-    leaf. Objects nested deeper than ``depth`` are compared whole.
+    Objects present on both sides are opened until none is left, ``levels`` at a time inside the row;
+    anything else is a leaf.
     """
 
     def members(value: Column) -> Column:
@@ -50,9 +51,16 @@ def json_difference(df: DataFrame, key: str, base: str, overlay: str, depth: int
             )
         ).alias("nodes"),
     )
-    for _ in range(depth):
-        rows = rows.select(key, F.flatten(F.transform("nodes", opened)).alias("nodes"))
-    leaves = rows.select(key, F.explode("nodes").alias("n")).select(
-        key, "n.path", F.to_json("n.value").alias("value"), F.to_json("n.base").alias("old")
-    )
+    leaves = None
+    while True:
+        for _ in range(levels):
+            rows = rows.select(key, F.flatten(F.transform("nodes", opened)).alias("nodes"))
+        nodes = rows.select(key, F.explode("nodes").alias("n"))
+        both = members(F.col("n.value")).isNotNull() & members(F.col("n.base")).isNotNull()
+        done = nodes.where(~both).select(key, "n.path", F.to_json("n.value").alias("value"), F.to_json("n.base").alias("old"))
+        leaves = done if leaves is None else leaves.unionByName(done)
+        deeper = nodes.where(both)
+        if deeper.isEmpty():
+            break
+        rows = deeper.select(key, F.array("n").alias("nodes"))
     return leaves.where(~F.col("value").eqNullSafe(F.col("old"))).select(key, "path", "value")

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import cut_lineage
+
 PIECE_DIGITS = 4
+#: Classes up to which the table of cuts is broadcast: a few numbers for each.
+BROADCAST_CLASSES = 100_000
 
 
 def shuffled_key(key_columns: list[str], seed: int) -> Column:
@@ -69,7 +73,10 @@ def with_share(
         for c in by:
             same = F.col(c).eqNullSafe(F.col(f"class_{c}"))
             match = same if match is None else match & same
-        joined = df.join(cuts, match, "left")
+        # Spark guesses the size of this table from its input, so its rows are counted: up to a bound they
+        # go to where the rows of ``df`` are, beyond it the join may shuffle.
+        cuts = cut_lineage(cuts)
+        joined = df.join(F.broadcast(cuts) if cuts.count() <= BROADCAST_CLASSES else cuts, match, "left")
     else:
         joined = df.withColumn("cuts", cuts.select("cuts").scalar())
     own = shuffled_key(key_columns, seed)

@@ -80,14 +80,7 @@ def prepare(train: DataFrame, test: DataFrame | None, settings: Settings, stages
 
     hints = settings.hints or Hints()
     train, test = staged("constructed", *prep.construct(train, test, hints))
-    cleaned_train, cleaned_test, _ = prep.clean(train, test, settings.target, hints)
-    # Identifiers are keys, not measurements: they keep their type.
-    if settings.id_column:
-        kind = train.schema[settings.id_column].dataType
-        restore = F.col(settings.id_column).cast(kind)
-        cleaned_train = cleaned_train.withColumn(settings.id_column, restore)
-        if cleaned_test is not None and settings.id_column in cleaned_test.columns:
-            cleaned_test = cleaned_test.withColumn(settings.id_column, restore)
+    cleaned_train, cleaned_test, _ = prep.clean(train, test, settings.target, hints, settings.id_column)
     train, test = staged("clean", cleaned_train, cleaned_test)
     train, test = staged("integrated", *prep.integrate(train, test, settings.target))
     return train, test

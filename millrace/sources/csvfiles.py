@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import cut_lineage
+
 # Texts that mean "missing" in data files.
 MISSING_TOKENS = [
     "",
@@ -39,40 +41,52 @@ WINDOWS_CHARACTERS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜
 UNUSED_CODES = "[\x81\x8d\x8f\x90\x9d]"
 DELIMITERS = [",", ";", "\t", "|"]
 SNIFF_LINES = 20
-HEAD_BYTES = 1 << 16
+HEAD_BYTES = 1 << 16  # step of reading until SNIFF_LINES lines are there
 
 
-def file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, encoding)``: utf-8, cp1252 or latin-1, decided over all bytes of each file."""
+def file_facts(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, encoding, header)``: utf-8, cp1252 or latin-1, decided over all bytes, and the first line."""
     # The text source hands over the bytes of a line as they are.
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        # Blocks of a file by offset, lines of a block by the order in which they are read.
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
+    )
     utf8 = F.is_valid_utf8("value")
     unused = ~utf8 & F.decode(F.col("value").cast("binary"), "ISO-8859-1").rlike(UNUSED_CODES)
     return lines.groupBy("file").agg(
-        F.when(F.bool_and(utf8), "utf-8").when(F.bool_or(unused), "latin-1").otherwise("cp1252").alias("encoding")
+        F.when(F.bool_and(utf8), "utf-8").when(F.bool_or(unused), "latin-1").otherwise("cp1252").alias("encoding"),
+        F.min_by("value", "at").alias("header"),
     )
 
 
+def file_encodings(spark: SparkSession, path: str) -> DataFrame:
+    return file_facts(spark, path).select("file", "encoding")
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType | str | None = None,
     sep: str = ",",
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV with a header in any of utf-8, cp1252 or latin-1; types are inferred unless given.
 
-    ``multi_line`` allows line breaks in quoted cells, at the price that a file is not split.
+    Files with different headers are read each under their own and put together by name. Quoted cells may
+    hold line breaks; for that a file is not split. ``multi_line=False`` promises that no cell does.
     """
-    files = file_encodings(spark, path)
-    found = [r["encoding"] for r in files.select("encoding").distinct().collect()]  # at most three
-    if not found:
+    facts = cut_lineage(file_facts(spark, path))
+    kinds = facts.select("encoding", "header").distinct().collect()  # one row per layout
+    if not kinds:
         raise FileNotFoundError(f"no rows in {path}")
     parts = []
-    for encoding in found:
-        # Names are needed only where a folder mixes encodings.
-        places = [path] if len(found) == 1 else [r["file"] for r in files.where(F.col("encoding") == encoding).select("file").collect()]
-        parts.append(_read_text_columns(spark, places, encoding, sep, multi_line))
+    for kind in kinds:
+        # Names are needed only where a folder mixes layouts.
+        same = (F.col("encoding") == kind["encoding"]) & F.col("header").eqNullSafe(kind["header"])
+        places = [path] if len(kinds) == 1 else [r["file"] for r in facts.where(same).select("file").collect()]
+        parts.append(_read_text_columns(spark, places, kind["encoding"], sep, multi_line))
     text = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     text = text.select(*[missing_to_null(F.col(f"`{c}`")).alias(c) for c in text.columns])
     if schema is None:
@@ -81,17 +95,21 @@ def read_csv(
     return text.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
 
 
-def _read_text_columns(spark, files: list[str], encoding: str, sep: str, multi_line: bool) -> DataFrame:
+def _read_text_columns(spark, files: list[str], encoding: str, sep: str, multi_line: bool, trim: bool = False) -> DataFrame:
     reader = (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
+        .option("mode", "PERMISSIVE")
+        .option("ignoreLeadingWhiteSpace", trim)
+        .option("ignoreTrailingWhiteSpace", trim)
         .option("encoding", "UTF-8" if encoding == "utf-8" else "ISO-8859-1")
     )
     df = reader.csv(files)
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    # In one-byte encodings the mark at the start of a file shows as three characters.
+    df = df.toDF(*[c.strip().removeprefix("\ufeff").removeprefix("ï»¿") for c in df.columns])
     if encoding == "cp1252":
         df = df.select(*[F.translate(F.col(f"`{c}`"), WINDOWS_CODES, WINDOWS_CHARACTERS).alias(c) for c in df.columns])
     return df
@@ -123,17 +141,22 @@ def cast_inferred(text: DataFrame) -> DataFrame:
     return text.select(*columns)
 
 
-def read_strings(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Every cell as trimmed text; short rows are padded, surplus cells dropped."""
-    df = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("mode", "PERMISSIVE")
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .csv(path)
-    )
-    return df.toDF(*[c.strip().lstrip("﻿") for c in df.columns])
+def read_strings(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = True) -> DataFrame:
+    """Every cell as trimmed text; short rows are padded, surplus cells dropped.
+
+    The header is the first line of the first file in name order; without ``sep`` the delimiter is sniffed
+    from it. All files are read under that header.
+    """
+    facts = cut_lineage(file_facts(spark, path))
+    first = facts.orderBy("file").select("header", sniff_delimiter(F.col("header")).alias("sep")).first()
+    if first is None:
+        raise FileNotFoundError(f"no rows in {path}")
+    encodings = [r["encoding"] for r in facts.select("encoding").distinct().collect()]  # at most three
+    parts = []
+    for encoding in encodings:
+        places = [path] if len(encodings) == 1 else [r["file"] for r in facts.where(F.col("encoding") == encoding).select("file").collect()]
+        parts.append(_read_text_columns(spark, places, encoding, sep or first["sep"], multi_line, trim=True))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def _arrow_uri(path: str) -> str:
@@ -143,8 +166,8 @@ def _arrow_uri(path: str) -> str:
     return path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path
 
 
-def file_heads(listing: DataFrame, n_bytes: int = HEAD_BYTES) -> DataFrame:
-    """``(path, head)``: the first bytes of every listed file as text, read inside the tasks."""
+def file_heads(listing: DataFrame, lines: int = SNIFF_LINES) -> DataFrame:
+    """``(path, head)``: the first whole lines of every listed file as text, read inside the tasks."""
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -154,7 +177,10 @@ def file_heads(listing: DataFrame, n_bytes: int = HEAD_BYTES) -> DataFrame:
             for path in batch["path"]:
                 system, place = fs.FileSystem.from_uri(_arrow_uri(path))
                 with system.open_input_stream(place) as stream:
-                    found.append(stream.read(n_bytes).decode("utf-8", errors="replace"))
+                    head = b""
+                    while head.count(b"\n") < lines and (more := stream.read(HEAD_BYTES)):
+                        head += more
+                found.append(b"\n".join(head.split(b"\n")[:lines]).decode("utf-8", errors="replace"))
             yield pd.DataFrame({"path": batch["path"], "head": found})
 
     return listing.select("path").mapInPandas(heads, "path string, head string")
