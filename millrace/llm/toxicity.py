@@ -7,8 +7,8 @@ label, of those with ``LEAST_CHI2`` or more that are ``LEAST_RATIO`` times as fr
 as among others. Document frequencies are counted over all documents.
 
 The examples lie in blocks of similar ones in an inverted index that keeps, for each term and block, the
-largest weight. A query takes blocks in descending order of the bound that these give and stops when no
-block can reach the k-th best score, so its neighbours are those of a full scan. The neighbours vote with
+largest weight. A query scores the blocks with the largest bounds first; blocks whose bound lies below the
+k-th score found there can't hold a neighbour, so its neighbours are those of a full scan. The neighbours vote with
 a weight that falls with distance and that undoes the class balance of the sample; Platt scaling over the
 examples' own left-out votes turns votes into probabilities. The nearest neighbours are kept as evidence.
 
@@ -41,16 +41,22 @@ LEAST_RATIO = 10.0
 #: Weight of the base rate among the votes: neighbours that are hardly similar decide little.
 BASE_VOTES = 0.3
 NEIGHBOURS = 25
-BLOCK = 64
+BLOCK, FIRST_BLOCKS = 64, 4
 STEMS = range(3, 9)
 CACHE_WORDS = 300_000
 COUNTED_TERMS = 400_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
+def bare(word: str) -> str:
+    if not (word[:1].isalnum() and word[-1:].isalnum()):
+        word = _EDGES.sub("", word)
+    return word.lower()
+
+
 def features(word: str) -> set[str]:
     """A raw word without the punctuation around it, in lower case, and its beginnings (with a dash)."""
-    word = _EDGES.sub("", word).lower()
+    word = bare(word)
     return {word, *(word[:n] + "-" for n in STEMS if len(word) >= n)} if word else set()
 
 
@@ -60,11 +66,14 @@ class _Numbers(dict):
     def __init__(self, terms: list[str]):
         super().__init__()
         self.terms = {t: i for i, t in enumerate(terms)}
+        self.starts = {t[: STEMS[0]] for t in terms}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        found = np.array(sorted(self.terms[f] for f in features(word) if f in self.terms), np.int32).tobytes()
+        found = b""
+        if bare(word)[: STEMS[0]] in self.starts or len(word) < STEMS[0]:
+            found = np.array(sorted(self.terms[f] for f in features(word) if f in self.terms), np.int32).tobytes()
         if len(word) <= 64:
             self[word] = found
         return found
@@ -85,33 +94,42 @@ class BlockMaxIndex:
         # Examples whose heaviest terms are equal lie together, which makes the bounds tight.
         heaviest = [(int(t[np.argmax(w)]), -float(w.max()), i) for i, (t, w) in enumerate(vectors)]
         self.order = np.array([i for _, _, i in sorted(heaviest)], dtype=np.int64)
-        self.blocks = []
-        self.most = np.zeros((n_terms, -(-len(vectors) // block)), dtype=np.float64)
-        for b in range(self.most.shape[1]):
-            own = [vectors[i] for i in self.order[b * block : (b + 1) * block]]
-            rows = np.repeat(np.arange(len(own)), [len(t) for t, _ in own])
-            terms, weights = np.concatenate([t for t, _ in own]), np.concatenate([w for _, w in own])
-            np.maximum.at(self.most[:, b], terms, weights)
-            self.blocks.append((rows, terms, weights, len(own)))
-        self.n_terms, self.block = n_terms, block
+        self.n, self.block, self.n_blocks = len(vectors), block, -(-len(vectors) // block)
+        place = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in self.order])
+        terms = np.concatenate([vectors[i][0] for i in self.order])
+        weights = np.concatenate([vectors[i][1] for i in self.order])
+        self.most = np.zeros((n_terms, self.n_blocks))
+        np.maximum.at(self.most, (terms, place // block), weights)
+        by_term = np.argsort(terms, kind="stable")  # a term's postings stay in block order
+        ends = np.searchsorted(terms[by_term], np.arange(n_terms + 1))
+        self.postings = [(place[by_term[x:y]], weights[by_term[x:y]]) for x, y in zip(ends[:-1], ends[1:])]
+
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of the chosen blocks that share a term with the query, and their cosines."""
+        where = np.concatenate([self.postings[t][0] for t in terms])
+        value = np.concatenate([self.postings[t][1] * w for t, w in zip(terms, weights)])
+        inside = chosen[where // self.block]
+        total = np.bincount(where[inside], value[inside], minlength=self.n)
+        hit = np.flatnonzero(total > 0)
+        return self.order[hit], total[hit]
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest cosine above 0 (ties: the earlier example), best first."""
+        """The k examples with the largest cosine above 0 (ties: the earlier example), best first.
+
+        The blocks with the largest bounds are scored first; the k-th score found there rules out all blocks
+        whose bound is below it, and the others are scored in a second step.
+        """
         bound = weights @ self.most[terms]
-        dense = np.zeros(self.n_terms)
-        dense[terms] = weights
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(scores) == k and bound[b] < scores[-1] - 1e-12:
-                break
-            rows, t, w, n = self.blocks[b]
-            found = np.bincount(rows, dense[t] * w, minlength=n)
-            hit = np.flatnonzero(found > 0)
-            ids = np.concatenate([ids, self.order[b * self.block + hit]])
-            scores = np.concatenate([scores, found[hit]])
-            best = np.lexsort((ids, -np.round(scores, 12)))[:k]
-            ids, scores = ids[best], scores[best]
-        return ids, scores
+        chosen = np.zeros(self.n_blocks, dtype=bool)
+        chosen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        ids, scores = self._scores(terms, weights, chosen)
+        least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+        more = (bound >= least - 1e-12) & (bound > 0) & ~chosen
+        if more.any():
+            other, also = self._scores(terms, weights, more)
+            ids, scores = np.concatenate([ids, other]), np.concatenate([scores, also])
+        best = np.lexsort((ids, -np.round(scores, 12)))[:k]
+        return ids[best], scores[best]
 
 
 @dataclass
