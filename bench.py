@@ -49,6 +49,9 @@ HEADLINE = [
     "csv_roundtrip",
     "jsonl_tolerant",
     "tfidf_features",
+    "text_baseline_cv",
+    "tabular_baseline_cv",
+    "score_and_submit",
     "live_summary",
 ]
 

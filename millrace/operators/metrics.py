@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.metricrules import METRIC_ORDER, lower_is_better
 from millrace.functions.numbers import log1p_clipped, ratio, ratio_or_zero
+from millrace.plans.scan import ordered_scan, running_sum
 from millrace.session import cut_lineage
 
 LOW_RECALL = 0.7
@@ -101,14 +102,48 @@ def regression_metrics(df: DataFrame, y: str, pred: str, by: list[str] = ()) ->
     )
 
 
+REGRESSION_SCORES = {"rmse": "rmse", "mse": "rmse", "mae": "mae", "rmsle": "rmse_log", "rmse_log": "rmse_log", "root_mean_squared_error": "rmse", "mean_squared_error": "rmse", "mean_absolute_error": "mae"}
+CLASS_SCORES = {"accuracy": "accuracy", "balanced_accuracy": "balanced_accuracy", "f1": "f1", "f1_macro": "f1", "roc_auc": "roc_auc", "auc": "roc_auc", "precision": "precision", "recall": "recall", "log_loss": "log_loss", "logloss": "log_loss"}
+
+
 def score_column(metric: str, is_regression: bool) -> str:
-    """Which metric column scores a model; unknown names fall back to rmse or accuracy."""
-    name = (metric or "").lower()
-    if is_regression:
-        if "log" in name:
-            return "rmse_log"
-        return "mae" if name == "mae" else "rmse"
-    return name if name in ("accuracy", "balanced_accuracy", "f1") else "accuracy"
+    """Which metric column scores a model; no metric means rmse or accuracy, an unknown one is an error."""
+    name = (metric or "").strip().lower().removeprefix("neg_")
+    if not name:
+        return "rmse" if is_regression else "accuracy"
+    known = REGRESSION_SCORES if is_regression else CLASS_SCORES
+    if name in known:
+        return known[name]
+    if is_regression and "log" in name:
+        return "rmse_log"
+    raise ValueError(f"unknown metric {metric!r}; known: {', '.join(known)}")
+
+
+def binary_scores(oof: DataFrame, by: list[str] = ()) -> DataFrame:
+    """``roc_auc, precision, recall, log_loss`` of the class with label 1.
+
+    ``oof``: y and pred (0.0 or 1.0), score (larger: label 1 likelier) and probability of label 1 (NULL where a
+    model has none). The area under the curve counts pairs by ranks, ties at their mean; equal scores are
+    one row before anything is ordered.
+    """
+    tied = oof.groupBy(*by, "score").agg(F.sum("y").alias("up"), F.count(F.lit(1)).alias("n"))
+    below = {"before": running_sum(F.col("n"))}
+    ranked = ordered_scan(tied, list(by), ["score"], below)
+    # Mean rank of a tie: ranks before it, plus half of its own (and a half).
+    rank = F.col("before") - F.col("n") / 2 + 0.5
+    sums = ranked.groupBy(*by).agg(F.sum(rank * F.col("up")).alias("r"), F.sum("up").alias("p"), F.sum("n").alias("t"))
+    p, t = F.col("p"), F.col("t")
+    area = sums.select(*by, F.when((p > 0) & (p < t), (F.col("r") - p * (p + 1) / 2) / (p * (t - p))).alias("roc_auc"))
+    hit = F.count_if((F.col("y") == 1) & (F.col("pred") == 1))
+    chance = F.least(F.greatest(F.when(F.col("y") == 1, F.col("probability")).otherwise(1 - F.col("probability")), F.lit(1e-15)), F.lit(1.0))
+    rest = oof.groupBy(*by).agg(
+        F.coalesce(F.try_divide(hit, F.count_if(F.col("pred") == 1)), F.lit(0.0)).alias("precision"),
+        F.coalesce(F.try_divide(hit, F.count_if(F.col("y") == 1)), F.lit(0.0)).alias("recall"),
+        F.when(F.count("probability") == F.count(F.lit(1)), F.avg(-F.log(chance))).alias("log_loss"),
+    )
+    if by:
+        return rest.join(area, list(by))
+    return rest.withColumn("roc_auc", area.scalar())
 
 
 def fold_summary(fold_metrics: DataFrame, score: str, by: list[str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -28,9 +29,10 @@ from pyspark.ml.feature import (
     StringIndexerModel,
     VectorAssembler,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -283,13 +285,21 @@ class Experiment:
     oof: DataFrame | None
     fold_metrics: DataFrame | None
     error: str | None = None
+    n_features: int | None = None
+    #: Rows without a target: they are neither fitted nor scored.
+    n_unlabelled: int = 0
 
 
 def _predictions(scored: DataFrame, task: Task) -> DataFrame:
     pred, y = F.col("prediction"), F.col("__label")
     if task.log_target:
         pred, y = F.expm1(pred), F.expm1(y)
-    return scored.select(task.id_column, "fold", y.alias("y"), pred.alias("pred"))
+    columns = [F.col(task.id_column), F.col("fold"), y.alias("y"), pred.alias("pred")]
+    if not task.is_regression:
+        second = lambda name: F.get(vector_to_array(name), 1) if name in scored.columns else F.lit(None).cast("double")
+        chance = second("probability")
+        columns += [F.coalesce(chance, second("rawPrediction")).alias("score"), chance.alias("probability")]
+    return scored.select(*columns)
 
 
 def run_experiment(train: DataFrame, task: Task, technique: str, k: int = FOLDS) -> Experiment:
@@ -299,7 +309,11 @@ def run_experiment(train: DataFrame, task: Task, technique: str, k: int = FOLDS)
     re-assigned nor re-fitted when they are read again.
     """
     name = normalise_technique(technique, task)
+    score = M.score_column(task.metric, task.is_regression)
+    n_unlabelled = train.where(F.col(task.target).isNull()).count()
     ready, classes = labelled(train, task)
+    if score in ("roc_auc", "precision", "recall", "log_loss") and len(classes) != 2:
+        raise ValueError(f"{score} needs two classes, the target has {len(classes)}")
     assigned = plain_folds(ready, [task.id_column], k) if task.is_regression else stratified_folds(ready, "__label", [task.id_column], k)
     assigned = cut_lineage(assigned)
 
@@ -317,9 +331,11 @@ def run_experiment(train: DataFrame, task: Task, technique: str, k: int = FOLDS)
         per_fold = M.regression_metrics(oof, "y", "pred", ["fold"])
     else:
         per_fold = M.overall_metrics(M.confusion_counts(oof, "y", "pred", ["fold"]), ["fold"])
-    score = M.score_column(task.metric, task.is_regression)
+        if len(classes) == 2:
+            binary = M.binary_scores(oof, ["fold"])
+            per_fold = per_fold.join(binary.select("fold", *[c for c in binary.columns if c not in per_fold.columns]), "fold")
     summary = M.fold_summary(per_fold, score).first()
-    return Experiment(name, summary["mean"], summary["std"], oof, per_fold)
+    return Experiment(name, summary["mean"], summary["std"], oof, per_fold, None, len(feature_columns(ready, task)), n_unlabelled)
 
 
 def compare_experiments(train: DataFrame, task: Task, techniques: list[str] | None = None) -> list[Experiment]:
@@ -342,6 +358,19 @@ def select_best(results: list[Experiment], task: Task) -> Experiment:
     return min(usable, key=lambda r: r.cv_score if lower else -r.cv_score)
 
 
+def save_model(model: PipelineModel, classes: list[str], train_schema: T.StructType, path: str) -> None:
+    """Write a fitted model with its class names and the layout it was trained on."""
+    model.write().overwrite().save(f"{path}/model")
+    facts = [(json.dumps(classes), train_schema.json())]
+    SparkSession.active().createDataFrame(facts, "classes string, layout string").coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str], T.StructType]:
+    """What ``save_model`` wrote, in the order that ``predict`` takes it."""
+    facts = spark.read.parquet(f"{path}/facts").first()
+    return PipelineModel.load(f"{path}/model"), json.loads(facts["classes"]), T.StructType.fromJson(json.loads(facts["layout"]))
+
+
 def fit_final(train: DataFrame, task: Task, technique: str) -> tuple[PipelineModel, list[str]]:
     """Refit on the whole training table; returns the model and the class names."""
     ready, classes = labelled(train, task)
