@@ -1,14 +1,5 @@
-import random
-
 import pytest
-
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-SF_DIR = "/root/testdata/sf0.001"
-
-
-def words(n, seed, prefix="w"):
-    rng = random.Random(seed)
-    return [f"{prefix}{rng.randrange(5000)}" for _ in range(n)]
+from llm_helpers import SCHEMA, SF_DIR, words
 
 
 @pytest.fixture(scope="session")

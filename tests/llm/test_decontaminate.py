@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import SF_DIR, words
+from llm_helpers import SF_DIR, words
 
 from millrace.llm import decontaminate
 from millrace.llm.decontaminate import contamination

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import SF_DIR
+from llm_helpers import SF_DIR
 
 from millrace.llm.hnsw import Graph, nearest
 

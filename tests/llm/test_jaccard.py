@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import words
+from llm_helpers import words
 
 from millrace.llm.components import connected_components
 from millrace.llm.jaccard import near_duplicates

@@ -3,7 +3,7 @@
 import zlib
 
 import numpy as np
-from conftest import words
+from llm_helpers import words
 from pyspark.sql import functions as F
 
 from millrace.llm.common import held_out
