@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import written
 
-PACKET_BYTES = 8 << 20
+PACKET_BYTES = 4 << 20
 CELLS_PER_BYTE = 4
-SLICE_BITS = 27
-CACHE_WORDS = 300_000
+SLICE_BITS = 25
+CACHE_WORDS = 100_000
 MOST = 65535
 
 

@@ -43,7 +43,7 @@ BASE_VOTES = 0.3
 NEIGHBOURS = 25
 BLOCK, FIRST_BLOCKS = 64, 4
 STEMS = range(3, 9)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 COUNTED_TERMS = 400_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 

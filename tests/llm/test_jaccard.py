@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from llm_helpers import words
 
+from millrace.llm import packets as P
 from millrace.llm.components import connected_components
 from millrace.llm.jaccard import near_duplicates
 
@@ -83,3 +84,9 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1000)], "a long, b long")
     got = dict(connected_components(links).collect())
     assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
+
+
+def test_many_slices(documents, monkeypatch):
+    monkeypatch.setattr(P, "SLICE_BITS", 15)
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    assert engine(near_duplicates(documents.repartition(5))) == brute(rows)

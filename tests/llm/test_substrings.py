@@ -93,3 +93,10 @@ def test_gap_coding():
             assert P.decode_sorted(P.encode_sorted(values)).tolist() == values.tolist()
     values = np.array([0, 65535, 65536, 131071, 196606], dtype=np.uint64)
     assert P.decode_sorted(P.encode_sorted(values)).tolist() == values.tolist()
+
+
+def test_many_slices(documents, monkeypatch):
+    monkeypatch.setattr(P, "SLICE_BITS", 15)
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    assert P.cell_bits(P.pack_rows(documents, "t")) >= 20
+    assert engine(dedup_substrings(documents.repartition(5))) == brute(rows)
