@@ -17,7 +17,7 @@ def replies(t):
         .when(kind == "click", F.concat(F.lit("```json\n---\n"), props, F.lit("\n```")))
         .when(kind == "purchase", F.concat(F.lit("<think>maybe {\"k\": 0}</think>\n"), F.regexp_replace(props, "\\}$", ", // note\n}")))
         .when(kind == "signup", F.concat(F.lit("Sure {as asked} here: "), F.regexp_replace(props, "\\}$", ",}"), F.lit(" done {\"x\": 1}")))
-        .otherwise(F.concat(F.lit("no object: {{"), F.substring(props, 2, 100), F.lit(" ["),))
+        .otherwise(F.concat(F.lit("no object: {{"), F.substr(props, F.lit(2)), F.lit(" ["),))
     )
     return t.events.select("event_id", "event_type", "props", wrapped.alias("reply"))
 

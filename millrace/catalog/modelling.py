@@ -39,7 +39,7 @@ def scale_onehot(t):
     renamed = F.when(F.col("o_orderpriority") == "5-LOW", "6-NEW").otherwise(F.col("o_orderpriority"))
     rows = model.transform(orders_test(t).withColumn("o_orderpriority", renamed))
     cells = vector_to_array("features")
-    hot = F.aggregate(F.slice(cells, 2, 1000), F.lit(0.0), lambda a, x: a + x)
+    hot = F.aggregate(F.slice(cells, F.lit(2), F.size(cells)), F.lit(0.0), lambda a, x: a + x)
     return rows.select("o_orderkey", F.size(cells).cast("long").alias("width"), hot.alias("hot"))
 
 

@@ -77,7 +77,7 @@ def cv_metrics(json: Column) -> Column:
     short = F.transform(
         flat,
         lambda e: F.struct(
-            F.coalesce(F.try_element_at(renames, e["key"]), F.substring(e["key"], 4, 1_000)).alias("key"),
+            F.coalesce(F.try_element_at(renames, e["key"]), F.substr(e["key"], F.lit(4))).alias("key"),
             e["value"].alias("value"),
         ),
     )
