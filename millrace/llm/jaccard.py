@@ -33,6 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,17 +111,19 @@ def shingle_entries(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame
 
 
 def class_texts(packets: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
-    """One text for each class that has an entry in ``members``: class, text (binary)."""
+    """One text for each class that has an entry in ``members``: class, text (zstd frame)."""
     wanted = rows.join(members.select("class").distinct(), "class", "left_semi")
     chosen = wanted.groupBy("class").agg(F.min(F.struct("packet", "row")).alias("at"))
     by_packet = chosen.groupBy("at.packet").agg(F.collect_list(F.struct(F.col("at.row").alias("row"), "class")).alias("wanted"))
 
     def pick(batches):
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for row in batch.to_pylist():
                 body = P.unpack(row["body"])
                 texts = body.column(body.schema.get_field_index("text")).cast(pa.binary())
-                yield pa.RecordBatch.from_pydict({"class": pa.array([w["class"] for w in row["wanted"]], pa.binary()), "text": texts.take(pa.array([w["row"] for w in row["wanted"]], pa.int32()))})
+                packed = [pack.compress(texts[w["row"]].as_py()) for w in row["wanted"]]
+                yield pa.RecordBatch.from_pydict({"class": pa.array([w["class"] for w in row["wanted"]], pa.binary()), "text": pa.array(packed, pa.binary())})
 
     return written(packets.select("packet", "body").join(by_packet, "packet").mapInArrow(pick, "class binary, text binary"), "jaccard-texts")
 
@@ -129,16 +132,16 @@ def compare_pairs(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Add ``na``, ``nb``, ``shared`` to pairs (a, b) of classes, from their texts."""
 
     def compare(batches, cache=P.WordHashes()):
-        last, held = None, None
+        last, held, pack = None, None, zstandard.ZstdDecompressor()
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
+            a, b, ta, tb = (batch.column(i) for i in range(4))
             sizes = []
-            for x, y, tx, ty in zip(a, b, ta, tb):
-                if y != last:
-                    last, held = y, shingle_set(ty, size, cache)
-                s = shingle_set(tx, size, cache)
+            for i in range(len(batch)):
+                if b[i].as_py() != last:
+                    last, held = b[i].as_py(), shingle_set(pack.decompress(tb[i].as_py()), size, cache)
+                s = shingle_set(pack.decompress(ta[i].as_py()), size, cache)
                 sizes.append((len(s), len(held), len(np.intersect1d(s, held, assume_unique=True))))
-            yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), **{k: pa.array([z[i] for z in sizes], pa.int32()) for i, k in enumerate(("na", "nb", "shared"))}})
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b, **{k: pa.array([z[i] for z in sizes], pa.int32()) for i, k in enumerate(("na", "nb", "shared"))}})
 
     of = lambda key, text: texts.select(F.col("class").alias(key), F.col("text").alias(text))
     rows = pairs.select("a", "b").join(of("a", "ta"), "a").join(of("b", "tb"), "b").select("a", "b", "ta", "tb")
