@@ -15,7 +15,7 @@ import sys
 
 import numpy as np
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 BLOCK_CHARS = 1 << 20
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ENDINGS = ".,;:!?%&$#*"

@@ -43,7 +43,9 @@ BASE_VOTES = 0.3
 NEIGHBOURS = 25
 BLOCK, FIRST_BLOCKS = 64, 4
 STEMS = range(3, 9)
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
+#: Scores of equal term vectors that a task keeps at once.
+KNOWN_VECTORS = 10_000
 COUNTED_TERMS = 400_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -280,7 +282,7 @@ def add_scores(docs: DataFrame, model: Model, score: str = "score", evidence: st
                 terms, counts = numbers.count(text or "")
                 key = (terms.tobytes(), counts.tobytes())
                 if key not in known:
-                    if len(known) > 100_000:
+                    if len(known) > KNOWN_VECTORS:
                         known.clear()
                     vote, near = model.vote(terms, counts)
                     known[key] = model.score(vote), [dict(zip(("doc_id", "cosine", "toxic"), e)) for e in near]
