@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.catalog.fixtures import ORDERS_SPLIT, orders_test, orders_train
@@ -12,9 +11,6 @@ from millrace.catalog.registry import query
 from millrace.operators import contracts, models
 from millrace.operators.roles import Hints
 
-# Enough for every term of the conversations at the tested scales, so no tie is cut at the limit.
-VOCABULARY = 1 << 18
-
 
 @query(
     "scale_numeric",
@@ -53,16 +49,18 @@ def scale_onehot(t):
     SELECT term, any_value(n_documents) AS n_documents, round(sum(u), 5) AS total_weight FROM unit GROUP BY term""",
 )
 def tfidf_features(t):
-    """Document frequency and total unit-length weight of every term, summed over sparse vectors."""
+    """Document frequency and total unit-length weight of every term: all terms as rows, so no vocabulary is held anywhere."""
     conversations = t.conversations
-    model = models.fit_text_features(conversations, "text", terms=VOCABULARY)
-    rows = model.transform(conversations)
-    totals = rows.select(Summarizer.metrics("numNonZeros", "sum").summary(F.col("__tfidf")).alias("s"))
-    vocabulary = next(s for s in model.stages if hasattr(s, "vocabulary")).vocabulary
-    table = t.spark.createDataFrame(pd.DataFrame({"term": vocabulary}).rename_axis("position").reset_index())
-    cells = F.arrays_zip(vector_to_array("s.numNonZeros").alias("n"), vector_to_array("s.sum").alias("w"))
-    per_term = totals.select(F.posexplode(cells).alias("position", "c"))
-    return table.join(per_term, "position").select("term", F.col("c.n").cast("long").alias("n_documents"), F.round("c.w", 5).alias("total_weight"))
+    words = conversations.select("conv_id", "turn", F.regexp_extract_all(F.lower("text"), F.lit(models.TOKEN), F.lit(0)).alias("w"))
+    pairs = F.zip_with(F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, size(w))"), lambda a, b: F.concat_ws(" ", a, b))
+    terms = words.select("conv_id", "turn", F.explode(F.concat("w", pairs)).alias("term")).groupBy("conv_id", "turn", "term").agg(F.count("*").alias("tf"))
+    df = terms.groupBy("term").agg(F.count("*").alias("n_documents")).filter(F.col("n_documents") >= models.MIN_DOCUMENTS)
+    total = conversations.agg(F.count("*").alias("n"))  # one row
+    df = df.crossJoin(F.broadcast(total)).select("term", "n_documents", (F.log((1 + F.col("n")) / (1 + F.col("n_documents"))) + 1).alias("idf"))
+    weighted = terms.join(df, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("conv_id", "turn")))
+    unit = weighted.select("term", "n_documents", (F.col("w") / length).alias("u"))
+    return unit.groupBy("term").agg(F.first("n_documents").alias("n_documents"), F.round(F.sum("u"), 5).alias("total_weight"))
 
 
 def _documents_task():

@@ -75,3 +75,15 @@ def test_shares_do_not_move_rows_of_few_classes(spark, tables, monkeypatch, boun
     assert ("hashpartitioning" in plan) == (bound == 0)
     totals = {r[0]: r[1] for r in tables.lineitem.groupBy("l_returnflag").count().collect()}
     assert all(abs(counts[c, 0] - 0.25 * n) <= 1 and abs(counts[c, 2] - 0.5 * n) <= 1 for c, n in totals.items())
+
+
+def test_tfidf_features_keeps_every_term(spark):
+    from types import SimpleNamespace
+
+    from millrace.catalog.modelling import tfidf_features
+
+    text = " ".join(f"w{i}" for i in range(140_000))
+    rows = spark.createDataFrame([(1, 1, text), (2, 1, text.upper()), (3, 1, None), (4, 1, "w1")], "conv_id long, turn int, text string")
+    got = tfidf_features(SimpleNamespace(spark=spark, conversations=rows))
+    assert got.count() == 140_000 + 139_999
+    assert {r.term: r.n_documents for r in got.filter("term IN ('w1', 'w0 w1', 'w139998 w139999')").collect()} == {"w1": 3, "w0 w1": 2, "w139998 w139999": 2}
