@@ -40,7 +40,7 @@ def _names(attributes: str) -> tuple[str, ...]:
                 out.append("hidden")
             elif key != "style":
                 out += [p.lower() for p in _PIECE.findall(value)]
-    return tuple(out[:8])
+    return tuple(dict.fromkeys(out))
 
 
 def blocks_of(page: str) -> list[Block]:

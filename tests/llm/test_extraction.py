@@ -51,6 +51,12 @@ def test_paths_names_and_links():
     assert c.path == [("p", ("hidden",))]
 
 
+def test_all_names_of_an_element_count():
+    (post, side, gone) = blocks_of("<main><p id='post-123' class='post-123 post type-post status-publish format-standard hentry'>a</p><div class='flex mt grid px py gap text-sm font-bold rounded sidebar'>b</div><p class='a b c d e f g h i' style='display:none'>c</main>")
+    assert post.path[-1][1] == ("post", "type", "status", "publish", "format", "standard", "hentry")
+    assert X.marked(post) and not X.marked(side) and "sidebar" in side.path[-1][1] and gone.path[-1][1][-1] == "hidden"
+
+
 def test_gradients_are_right():
     model, vectors = X.BlockLabeller(seed=3), X.Vectors()
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
