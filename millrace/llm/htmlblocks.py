@@ -12,11 +12,15 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=[\s/>]|\Z))""", re.I)
 _PIECE = re.compile(r"[A-Za-z]+")
 # Elements whose content is not text of the page.
-SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "title", "textarea", "select", "canvas", "audio", "video"}
+SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "title", "textarea", "select", "canvas", "audio", "video"}
+# Those whose content holds no tags: without an end tag they go on to the end of the page, as in a browser.
+RAW = {"script", "style", "title", "textarea", "iframe"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q",
     "ruby", "rb", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "nobr",
+    "math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "menclose", "msub",
+    "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd", "semantics", "annotation", "annotation-xml", "maction",
 }
 # A start of the first kind ends an open element of the second kind, if no element of the third is between.
 _LISTS = {"ul", "ol", "menu"}
@@ -43,12 +47,39 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+def _raw_end(page: str, name: str, at: int) -> int:
+    end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _silent_ends(page: str) -> dict[int, int]:
+    """Where the silent elements that are not raw end, by the end of their start tag; those never closed are left out."""
+    ends: dict[int, int] = {}
+    started: dict[str, list[int]] = {}
+    at = 0
+    while m := _TAG.search(page, at):
+        at = m.end()
+        name = m[2].lower() if m[2] else ""
+        if name not in SILENT:
+            continue
+        if m[1]:
+            if started.get(name):
+                ends[started[name].pop()] = at
+        elif not m[3].rstrip().endswith("/"):
+            if name in RAW:
+                at = _raw_end(page, name, at)
+            else:
+                started.setdefault(name, []).append(at)
+    return ends
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order. White space inside a block is one space; references are decoded."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     link_chars = links = 0
+    silent_ends: dict[int, int] | None = None
 
     def flush():
         nonlocal link_chars
@@ -95,8 +126,12 @@ def blocks_of(page: str) -> list[Block]:
             if name not in INLINE:
                 flush()
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+                if name in RAW:
+                    at = _raw_end(page, name, at)
+                else:
+                    if silent_ends is None:
+                        silent_ends = _silent_ends(page)
+                    at = silent_ends.get(at, at)
             continue
         if name not in INLINE:
             flush()

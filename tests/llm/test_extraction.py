@@ -39,6 +39,10 @@ def texts(page):
         ("<p title='a>b' class=x>q</p></div></p>r", ["q", "r"]),
         ("<title>T</title><textarea>t</textarea><h1>H</h1><![CDATA[c < d]]>", ["H", "c < d"]),
         ("x<!-- open", ["x"]),
+        ("<object data=x><p>a</p><svg><p>b</p>", ["a", "b"]),
+        ("<object><p>a</p><object>inner</object><p>b", ["a", "b"]),
+        ("<svg><text>q</text><svg>r</svg>s</svg>x<!-- </svg> --><video>y</video>", ["x"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds", ["so x=2 holds"]),
     ],
 )
 def test_blocks(page, expected):
