@@ -6,8 +6,8 @@ reads the whole sequence both ways and gives every block a probability of being
 judged by the document around it.
 
 It is trained here, on the driver, on a bounded sample: the ``SAMPLE_PAGES`` pages with the smallest hash of
-their page_id among those of at most ``SAMPLE_CHARS`` characters. Labels come from pages that mark their
-article themselves. So that the labeller does not depend on that mark, training shows each page also in
+their page_id among those of at most ``SAMPLE_CHARS`` characters that mark their article themselves, from which
+the labels come. So that the labeller does not depend on that mark, training shows each page also in
 altered forms: other names for the article and the parts around it, or none, and added headers, sidebars,
 notices, adverts, forms and reader comments whose words come from other pages.
 
@@ -296,17 +296,26 @@ def altered(blocks: list[Block], pool: list[str], rng: np.random.Generator) -> l
     return before + out
 
 
+def _marking(batches):
+    """The pages with a block that they mark as article."""
+    for batch in batches:
+        own = [any(map(marked, blocks_of(p))) for p in batch.column(1).to_pylist()]
+        yield batch.filter(pa.array(own, pa.bool_()))
+
+
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, forms: int = 3) -> BlockLabeller | None:
-    """A labeller trained on the sample; None if no page of it marks an article."""
+    """A labeller trained on the sample; None if no page of at most ``SAMPLE_CHARS`` characters marks an article."""
     small = pages.select("page_id", "html").filter(F.char_length("html").between(1, SAMPLE_CHARS))
+    # The tag is looked for first, so that only pages that may mark an article are parsed.
+    small = small.filter(F.col("html").rlike("(?i)<(article|main)[\\s/>]"))
+    small = small.mapInArrow(_marking, small.schema)
     sample = small.orderBy(F.xxhash64("page_id", "html")).limit(sample_pages).collect()
     known = []
     for row in sample:
         blocks = blocks_of(row["html"])
         for b in blocks:
             b.label = int(marked(b))
-        if any(b.label for b in blocks):
-            known.append(blocks)
+        known.append(blocks)
     if not known:
         return None
     rng = np.random.default_rng(5)

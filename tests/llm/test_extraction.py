@@ -86,6 +86,12 @@ def test_given_pages(pages, labeller):
     assert len(rows) == len(expected) and np.mean([r.text == expected[r.page_id] for r in rows]) > 0.98
 
 
+def test_sample_holds_marked_pages_only(spark):
+    rows = [(i, "u", f"<p>bare {i}</p><!-- <article> -->") for i in range(200)]
+    rows += [(1000 + i, "u", f"<nav>menu</nav><article><p>{STORY[i]} {i}</article>") for i in range(3)]
+    assert X.fit(spark.createDataFrame(rows, SCHEMA), sample_pages=3) is not None
+
+
 FORMS = {
     "plain div": "<body><div id=header><a href=/>Home</a></div><div class=menu><ul><li><a href=a>News</a><li><a href=b>Sport</a></ul></div><div class=content>{}</div><div class=footer>Imprint and contact</div></body>",
     "main": "<body><header>Site</header><nav><a href=x>Start</a></nav><main>{}</main><aside><a href=q>Other story</a></aside><footer>&copy; 2020</footer></body>",
