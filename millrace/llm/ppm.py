@@ -6,13 +6,13 @@ distinct / (total + distinct)) times that under the next shorter context, down t
 text is the sum over all its bytes, under statistics that no longer change; the language with the shortest
 code is predicted.
 
-The trees of all languages share one set of contexts, and probabilities are worked out once for each
-context and byte, so scoring is three table steps for each byte (the longest known context) and one look-up
-for each language, in numpy over many documents at once. Texts are lower-cased and preceded by line breaks.
+Trees are kept sparsely, as sorted tables of the contexts and of the (context, byte) pairs seen in each language,
+so every context of the sample counts. In numpy, over many documents at once, the distinct grams (a byte with the
+bytes before it) get their code length in each language once, and texts add them up. Texts are lower-cased and
+preceded by line breaks.
 
 Trees are fitted on a bounded sample: of each language the ``TRAIN_DOCS`` documents with the smallest hash
-of their doc_id among those of at most ``TRAIN_CHARS`` characters. Contexts are kept from the most frequent
-down to ``TABLE_CELLS`` table cells. Whole texts are scored, long ones in segments that carry their context.
+of their doc_id among those of at most ``TRAIN_CHARS`` characters. Whole texts are scored, long ones in segments that carry their context.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every text if no
 language was learned; a null doc_id is not held out; documents without lang are not learned from; equal code
@@ -37,7 +37,6 @@ from millrace.llm.common import held_out
 ORDER = 3
 TRAIN_DOCS = 1000
 TRAIN_CHARS = 1 << 16
-TABLE_CELLS = 1 << 21
 SEGMENT = 1 << 20
 LEAD = b"\n" * ORDER
 UNKNOWN = "und"
@@ -57,67 +56,64 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 
 class Trees:
-    """Context trees of several languages from counts of grams: ``counts[lang] = (grams, numbers)``."""
+    """Context trees of several languages from counts of grams: ``counts[lang] = (grams, numbers)``.
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], cells: int = TABLE_CELLS):
+    With ``cells`` only the contexts most frequent over all languages are kept, down to that many table cells.
+    """
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], cells: int | None = None):
         self.languages = sorted(counts)
         symbols = np.unique(np.concatenate([g & 255 for g, _ in counts.values()] + [np.array(list(LEAD))]))
         self.width = len(symbols) + 1  # the last symbol stands for bytes never seen
-        self.symbol = np.full(256, len(symbols), dtype=np.int64)
-        self.symbol[symbols] = np.arange(len(symbols))
 
-        # A node is a context: its bytes, newest first, chosen from the most frequent.
+        # A node is a context: its bytes, newest lowest, and how many.
         total: dict[int, list] = {}
         for order in range(1, ORDER + 1):
             parts = [((g >> 8) & ((1 << 8 * order) - 1), n) for g, n in counts.values()]
             contexts, where = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
             total[order] = [contexts, np.bincount(where, np.concatenate([n for _, n in parts]))]
-        room = max(1, cells // self.width) - 1
         order_of = np.repeat(np.arange(1, ORDER + 1), [len(total[k][0]) for k in total])
         context = np.concatenate([total[k][0] for k in total])
         often = np.concatenate([total[k][1] for k in total])
+        room = len(context) if cells is None else max(1, cells // self.width) - 1
         # A longer context is never more frequent than its shorter one, so the choice is closed downwards.
         best = np.lexsort((context, order_of, -often))[:room]
-        best = best[np.lexsort((context[best], order_of[best]))]
-        self.order, self.context = np.append(0, order_of[best]), np.append(0, context[best])
-        self.n = len(self.order)
-        node = {(int(o), int(c)): i for i, (o, c) in enumerate(zip(self.order, self.context))}
-
-        # Steps from a node by the next older byte. Number n + i is node i, reached without a longer context.
-        self.step = np.tile(np.arange(2 * self.n)[:, None], (1, self.width))
-        self.step[: self.n] += self.n
-        self.step[self.n :] = np.arange(self.n, 2 * self.n)[:, None]
-        parent = np.zeros(self.n, dtype=np.int64)
-        for i in range(1, self.n):
-            o, c = int(self.order[i]), int(self.context[i])
-            older, rest = c >> 8 * (o - 1), c & ((1 << 8 * (o - 1)) - 1)
-            parent[i] = node[(o - 1, rest)]
-            self.step[parent[i], self.symbol[older]] = i
-        self.step = self.step.astype(np.int32)
-
-        self.bits = np.empty((len(self.languages), self.n * self.width), dtype=np.float32)
-        for k, lang in enumerate(self.languages):
+        self.n = 1 + len(best)
+        chosen = [np.zeros(1, np.int64), *(np.sort(context[best[order_of[best] == k]]) for k in range(1, ORDER + 1))]
+
+        # Of each language and order: contexts, bits of an escape from each, pairs, bits of each pair.
+        self.tables = []
+        for lang in self.languages:
             g, n = counts[lang]
-            table = np.zeros((self.n, self.width))
-            for order in range(ORDER + 1):
-                mine = np.flatnonzero(self.order == order)
-                c = (g >> 8) & ((1 << 8 * order) - 1)
-                at = np.searchsorted(self.context[mine], c)
-                at[at == len(mine)] = 0
-                known = self.context[mine][at] == c if len(mine) else np.zeros(len(c), bool)
-                if known.any():
-                    np.add.at(table, (mine[at[known]], self.symbol[g[known] & 255]), n[known])
-            whole, distinct = table.sum(axis=1), (table > 0).sum(axis=1)
-            chance = np.full((self.n, self.width), 1 / 256)
+            own = []
             for order in range(ORDER + 1):
-                i = np.flatnonzero((self.order == order) & (whole > 0))
-                below = chance[parent[i]] if order else chance[i]
-                seen, all_ = table[i], (whole[i] + distinct[i])[:, None]
-                chance[i] = np.where(seen > 0, seen / all_, distinct[i][:, None] / all_ * below)
-                i = np.flatnonzero((self.order == order) & (whole == 0))
-                if order:
-                    chance[i] = chance[parent[i]]
-            self.bits[k] = -np.log2(chance).ravel().astype(np.float32)
+                pairs, where = np.unique(g & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+                seen = np.bincount(where, n, minlength=len(pairs))
+                kept = np.isin(pairs >> 8, chosen[order])
+                pairs, seen = pairs[kept], seen[kept]
+                contexts, where, distinct = np.unique(pairs >> 8, return_inverse=True, return_counts=True)
+                all_ = np.bincount(where, seen, minlength=len(contexts)) + distinct
+                own.append((contexts, -np.log2(distinct / all_), pairs, -np.log2(seen / all_[where])))
+            self.tables.append(own)
+
+    def _bits(self, own: list, g: np.ndarray) -> np.ndarray:
+        """Code lengths of grams in one language."""
+        bits = np.zeros(len(g))
+        left = np.arange(len(g))
+        for order in range(ORDER, -1, -1):
+            contexts, escape, pairs, length = own[order]
+            if not len(pairs):
+                continue
+            key = g[left] & ((1 << 8 * (order + 1)) - 1)
+            at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+            hit = pairs[at] == key
+            bits[left[hit]] += length[at[hit]]
+            left, key = left[~hit], key[~hit] >> 8
+            at = np.minimum(np.searchsorted(contexts, key), len(contexts) - 1)
+            known = contexts[at] == key
+            bits[left[known]] += escape[at[known]]
+        bits[left] += 8
+        return bits
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text (rows) in each language (columns)."""
@@ -137,12 +133,8 @@ class Trees:
     def _add(self, out: np.ndarray, segments: list[tuple[int, bytes]]) -> None:
         if not segments:
             return
-        s = self.symbol[np.frombuffer(b"".join(d for _, d in segments), np.uint8)]
-        n = len(s) - ORDER
-        node = np.zeros(n, dtype=np.int32)
-        for back in range(1, ORDER + 1):
-            node = self.step[node, s[ORDER - back : ORDER - back + n]]
-        at = (node % self.n).astype(np.int64) * self.width + s[ORDER:]
+        s = np.frombuffer(b"".join(d for _, d in segments), np.uint8)
+        g = grams(s).astype(np.uint32)  # ORDER + 1 bytes
         # Positions of leads belong to no text.
         lengths = np.array([len(d) for _, d in segments])
         starts = np.cumsum(lengths) - lengths
@@ -151,9 +143,10 @@ class Trees:
             real[starts + k] = False
         real = real[ORDER:]
         first = np.concatenate([[0], np.cumsum(lengths - ORDER)[:-1]])
-        at = at[real]
-        for k in range(len(self.languages)):
-            np.add.at(out[:, k], [i for i, _ in segments], np.add.reduceat(self.bits[k][at], first, dtype=np.float64))
+        distinct, where = np.unique(g[real], return_inverse=True)
+        distinct = distinct.astype(np.int64)
+        for k, own in enumerate(self.tables):
+            np.add.at(out[:, k], [i for i, _ in segments], np.add.reduceat(self._bits(own, distinct)[where], first))
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> dict[str, tuple[np.ndarray, np.ndarray]]:

@@ -54,6 +54,17 @@ def test_code_lengths_are_those_of_plain_trees(monkeypatch):
                 assert math.isclose(row[k], plain_bits(TEXTS[lang], p), rel_tol=1e-5, abs_tol=1e-6)
 
 
+def test_every_context_of_the_sample_counts():
+    rng = np.random.default_rng(3)
+    alphabet = np.array([chr(c) for c in range(33, 127) if not chr(c).isupper()])
+    texts = {"large": ["".join(alphabet[rng.integers(len(alphabet), size=120_000)])], "small": TEXTS["xx"]}
+    trees = Trees(counts(texts))
+    for probe in ("the cat sat", texts["large"][0][-300:]):
+        row = trees.code_lengths([prepared(probe)])[0]
+        for k, lang in enumerate(trees.languages):
+            assert math.isclose(row[k], plain_bits(texts[lang], probe), rel_tol=1e-5)
+
+
 def test_fewer_contexts_fall_back_to_shorter_ones():
     trees = Trees(counts(TEXTS), cells=600)
     assert trees.n * trees.width <= 600 + trees.width and np.isfinite(trees.code_lengths([b"the unknown"])).all()
