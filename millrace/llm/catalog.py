@@ -130,3 +130,92 @@ def op10_html_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = extract(pages.select("page_id", "url", "html"), fit(pages))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op13_budget_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.lexical import rank_documents
+
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+ORACLE["op11_lexical_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+lens AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lens),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+tf AS (
+  SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM i) GROUP BY rid, term
+),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total
+),
+part AS (
+  SELECT rid, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) AS s
+  FROM tf JOIN weight USING (term) JOIN lens USING (rid), total
+),
+scored AS (
+  SELECT item_id, doc_id, rid, CAST(sum(s) AS BIGINT) AS score
+  FROM i JOIN part USING (term) JOIN lens USING (rid) GROUP BY item_id, doc_id, rid
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 50
+"""
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_collocations"] = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS pid, lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+  )
+),
+tot AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (
+  SELECT lang, k, w[s + 1 : s + k] AS ph
+  FROM (SELECT lang, w, k, unnest(range(0, len(w) - k + 1)) AS s FROM p, (VALUES (1), (2), (3), (4)) AS ks(k) WHERE len(w) >= k)
+),
+f AS (SELECT lang, k, ph, count(*) AS a FROM g GROUP BY lang, k, ph HAVING count(*) >= 30),
+inside AS (
+  SELECT b.lang, b.ph[s + 1 : s + j] AS ph, max(b.a) AS m
+  FROM (SELECT lang, ph, a, j, unnest(range(0, k - j + 1)) AS s FROM f, (VALUES (2), (3)) AS js(j) WHERE j < k) AS b
+  GROUP BY 1, 2
+),
+kept AS (
+  SELECT f.* FROM f LEFT JOIN inside USING (lang, ph) WHERE f.k > 1 AND (m IS NULL OR 100 * m::HUGEINT < 80 * a::HUGEINT)
+),
+cut AS (
+  SELECT kept.lang, kept.k, kept.ph, kept.a, c, x.a AS l, y.a AS r, CAST((2000000 * kept.a::HUGEINT) // (x.a + y.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM kept) AS kept
+  JOIN f AS x ON x.lang = kept.lang AND x.ph = kept.ph[1 : c] JOIN f AS y ON y.lang = kept.lang AND y.ph = kept.ph[c + 1 : kept.k]
+),
+best AS (
+  SELECT lang, array_to_string(ph, ' ') AS phrase, a, l, r, score
+  FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, c) = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best) JOIN tot USING (lang)
+WHERE rank <= 2000
+"""
