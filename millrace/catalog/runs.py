@@ -114,29 +114,47 @@ def event_tree(t):
     return runlog.event_tree(nodes).withColumn("path", F.array_join("path", "/"))
 
 
+_CALLS = """base AS (SELECT user_id AS run_id, event_id AS id, ts, event_type, hash_k % 7 AS who_k,
+      CASE WHEN hash_k % 7 < 6 THEN list_extract(['pm', 'domain', 'data_engineer', 'data_scientist', 'developer', 'storyteller'], hash_k % 7 + 1) END AS agent,
+      CASE WHEN event_id % 3 > 0 THEN 'c' || (event_id * 31 % 17) END AS call_id
+    FROM (SELECT *, CAST(floor(value * 100) AS BIGINT) % 1000 AS hash_k FROM events)),
+    rec AS (SELECT run_id, id AS comm_no, agent, CASE WHEN id % 4 = 1 THEN call_id END AS call_id, ts AS opened_at,
+      CASE WHEN id % 9 > 0 THEN ts + (id * 7919 % 400) * INTERVAL 1 HOUR END AS closed_at FROM base WHERE event_type = 'signup'),
+    ev AS (SELECT run_id, id, ts, agent, call_id FROM base WHERE event_type = 'error')"""
+
+
 @query(
     "asof_correlation",
-    f"""{_TRACE}, k AS (SELECT *, list_extract(['pm', 'domain', 'data_engineer', 'data_scientist', 'developer', 'storyteller'], (k % 6) + 1) AS who FROM trace),
-    marks AS (SELECT *, min(CASE WHEN type = 'substep.end' THEN ts END) OVER (PARTITION BY run_id, who ORDER BY ts, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS closed_at FROM k),
-    opens AS (SELECT run_id, id, who, ts AS opened_at, closed_at FROM marks WHERE type = 'substep.dispatch'),
-    errs AS (SELECT run_id, id, who, ts FROM k WHERE type = 'exception'),
-    own AS (SELECT e.run_id, e.id, max(o.id) AS comm_no FROM errs e JOIN opens o ON o.run_id = e.run_id AND o.who = e.who AND o.opened_at < e.ts
-      AND (o.closed_at IS NULL OR o.closed_at > e.ts) GROUP BY 1, 2),
-    sole AS (SELECT e.run_id, e.id, CASE WHEN count(*) = 1 THEN max(o.id) END AS comm_no FROM errs e JOIN opens o ON o.run_id = e.run_id AND o.opened_at < e.ts
-      AND (o.closed_at IS NULL OR o.closed_at > e.ts) GROUP BY 1, 2)
-    SELECT e.run_id, e.id, coalesce(own.comm_no, sole.comm_no) AS comm_no FROM errs e LEFT JOIN own ON own.id = e.id LEFT JOIN sole ON sole.id = e.id""",
+    f"""WITH RECURSIVE {_CALLS},
+    met AS (SELECT e.run_id, e.id, e.agent AS e_agent, e.call_id AS e_call, r.* EXCLUDE (run_id) FROM ev e JOIN rec r
+      ON r.run_id = e.run_id AND r.opened_at <= e.ts AND (r.closed_at IS NULL OR r.closed_at > e.ts)),
+    routes AS (SELECT run_id, id, arg_max(comm_no, (opened_at, comm_no)) FILTER (call_id = e_call) AS own,
+      arg_max(comm_no, (opened_at, comm_no)) FILTER (agent = e_agent) AS of_agent, CASE WHEN count(*) = 1 THEN max(comm_no) END AS alone FROM met GROUP BY 1, 2),
+    led AS (SELECT e.*, own, coalesce(of_agent, alone) AS led, r.closed_at AS until,
+      row_number() OVER (PARTITION BY e.run_id, e.call_id, own IS NULL ORDER BY e.ts, e.id) AS place
+      FROM ev e LEFT JOIN routes USING (run_id, id) LEFT JOIN rec r ON r.run_id = e.run_id AND r.comm_no = coalesce(of_agent, alone)),
+    chain AS (
+      SELECT run_id, call_id, place, id, led AS comm_no, until FROM led WHERE call_id IS NOT NULL AND own IS NULL AND place = 1
+      UNION ALL
+      SELECT n.run_id, n.call_id, n.place, n.id, CASE WHEN c.comm_no IS NOT NULL AND (c.until IS NULL OR c.until > n.ts) THEN c.comm_no ELSE n.led END,
+        CASE WHEN c.comm_no IS NOT NULL AND (c.until IS NULL OR c.until > n.ts) THEN c.until ELSE n.until END
+      FROM chain c JOIN led n ON n.run_id = c.run_id AND n.call_id = c.call_id AND n.place = c.place + 1 AND n.own IS NULL
+    )
+    SELECT l.run_id, l.id, CASE WHEN l.call_id IS NULL THEN l.led ELSE coalesce(l.own, c.comm_no) END AS comm_no
+    FROM led l LEFT JOIN chain c ON c.run_id = l.run_id AND c.id = l.id""",
 )
 def asof_correlation(t):
-    k = F.get_json_object("props", "$.k").cast("int")
+    """Records that open and close independently; call ids come again and some records have one."""
     from millrace.catalog.fixtures import AGENTS
-    from millrace.plans.scan import following, ordered_scan
-
-    who = F.element_at(F.array(*map(F.lit, AGENTS)), (k % len(AGENTS) + 1).cast("int"))
-    base = t.events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("id"), "ts", "event_type", who.alias("agent"), F.lit(None).cast("string").alias("call_id"))
-    closing = F.when(F.col("event_type") == "purchase", F.col("ts"))
-    marked = ordered_scan(base, ["run_id", "agent"], ["ts", "id"], {"closed_at": following(closing)})
-    records = marked.where("event_type = 'signup'").select(
-        "run_id", F.col("id").alias("comm_no"), "agent", "call_id", F.col("ts").alias("opened_at"), "closed_at"
+
+    k = (F.floor(F.col("value") * 100).cast("long") % 1000 % 7).cast("int")
+    agent = F.when(k < 6, F.element_at(F.array(*map(F.lit, AGENTS)), F.least(k, F.lit(5)) + 1))
+    call = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("c"), (F.col("event_id") * 31 % 17).cast("string")))
+    base = t.events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("id"), "ts", "event_type", agent.alias("agent"), call.alias("call_id"))
+    hours = F.make_dt_interval(hours=(F.col("id") * 7919 % 400).cast("int"))
+    records = base.where("event_type = 'signup'").select(
+        "run_id", F.col("id").alias("comm_no"), "agent", F.when(F.col("id") % 4 == 1, F.col("call_id")).alias("call_id"),
+        F.col("ts").alias("opened_at"), F.when(F.col("id") % 9 > 0, F.col("ts") + hours).alias("closed_at"),
     )
     return runlog.correlate(base.where("event_type = 'error'"), records)
 

@@ -6,10 +6,12 @@ Event tables have ``run_id, id, ts, ts_mono_ms, type`` and optional ``agent``, `
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import elapsed_ms
+from millrace.plans.openset import newest_open
 from millrace.plans.scan import HOT_ROWS, following, largest_group, last, ordered_scan, previous, running_sum
 from millrace.session import cut_lineage
 
@@ -244,60 +246,65 @@ def agent_edges(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 def correlate(events: DataFrame, records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Communication record each event belongs to.
 
-    ``events``: run_id, id, ts, agent, call_id. ``records``: run_id, comm_no (a positive number),
-    agent, call_id, opened_at, closed_at. Routes in order: the same call id, the agent's latest
-    record if it is open at that moment, the only record open for the agent, the only one in the run.
+    ``events``: run_id, id, ts, agent, call_id. ``records``: run_id, comm_no, agent, call_id, opened_at,
+    closed_at. Records open and close independently and may overlap. Routes in order: the newest open
+    record with the event's call id; the record that an earlier event taught the call id, while it is
+    open; the newest open record of the agent; the only record open in the run. An event with a call id
+    teaches it to the record that its agent or the run leads to. An event that is led nowhere has NULL.
     """
-    exact = records.where("call_id is not null").select(
-        "run_id", "call_id", F.col("comm_no").alias("by_call")
-    )
-    moves = records.select(
-        "run_id", "agent", "comm_no", F.col("opened_at").alias("ts"), F.lit(1).alias("step"), "closed_at"
-    ).unionByName(
-        records.where("closed_at is not null").select(
-            "run_id", "agent", "comm_no", F.col("closed_at").alias("ts"), F.lit(-1).alias("step"), "closed_at"
-        )
-    )
-    nothing = F.lit(None)
-    log = moves.select(
-        "run_id", "agent", "ts", F.lit(0).alias("rank"), F.col("comm_no").alias("id"), "step",
-        "comm_no", "closed_at", F.lit(False).alias("is_event"),
-    ).unionByName(
-        events.select(
-            "run_id", "agent", "ts", F.lit(1).alias("rank"), "id", F.lit(0).alias("step"),
-            nothing.cast("long").alias("comm_no"), nothing.cast("timestamp_ntz").alias("closed_at"),
-            F.lit(True).alias("is_event"),
-        )
-    )
-    opened = F.when(F.col("step") == 1, F.struct("comm_no", "closed_at"))
-    # With one record open, the sum of opened minus closed record numbers is that record.
-    signed = F.coalesce(F.col("comm_no"), F.lit(0)) * F.col("step")
-    order = ["ts", "rank", "id", "step"]
-    biggest = largest_group(log, ["run_id"])
-    log = ordered_scan(
-        log, ["run_id", "agent"], order,
-        {"latest": last(opened), "agent_open": running_sum(F.col("step")), "agent_sum": running_sum(signed)},
-        hot_rows, biggest,
-    )
-    log = ordered_scan(
-        log, ["run_id"], [*order, "agent"],
-        {"run_open": running_sum(F.col("step")), "run_sum": running_sum(signed)}, hot_rows, biggest,
-    )
-    is_open = F.col("latest.closed_at").isNull() | (F.col("latest.closed_at") > F.col("ts"))
-    asof = log.where("is_event").select(
-        "run_id",
-        "id",
-        F.coalesce(
-            F.when(is_open, F.col("latest.comm_no")),
-            F.when(F.col("agent_open") == 1, F.col("agent_sum")),
-            F.when(F.col("run_open") == 1, F.col("run_sum")),
-        ).alias("by_time"),
-    )
-    # Events without a call id stay out of that join, where they would all meet in one task.
-    named = events.where("call_id is not null").select("run_id", "id", "call_id").join(exact, ["run_id", "call_id"])
-    return asof.join(named.select("run_id", "id", "by_call"), ["run_id", "id"], "left").select(
-        "run_id", "id", F.coalesce("by_call", "by_time").alias("comm_no")
-    )
+    facts = records.select("run_id", "agent", "call_id", F.col("comm_no").alias("no"), "opened_at", "closed_at")
+    asked = events.select("run_id", "agent", "call_id", "id", "ts")
+
+    def route(by: list[str], name: str) -> DataFrame:
+        found = newest_open(facts, asked, by, hot_rows).where("open_no IS NOT NULL")
+        return found.select("run_id", "id", F.struct(F.col("open_no").alias("no"), F.col("open_until").alias("until")).alias(name))
+
+    moves = facts.where("opened_at IS NOT NULL").select("run_id", F.lit(0).alias("rank"), F.col("no").alias("id"), F.col("opened_at").alias("ts"), F.lit(1).alias("step"))
+    # A record that closes before it opens is never open.
+    closes = facts.where("opened_at IS NOT NULL AND closed_at IS NOT NULL")
+    moves = moves.unionByName(closes.select("run_id", F.lit(0).alias("rank"), F.col("no").alias("id"), F.greatest("opened_at", "closed_at").alias("ts"), F.lit(-1).alias("step")))
+    moves = moves.unionByName(asked.select("run_id", F.lit(1).alias("rank"), "id", "ts", F.lit(0).alias("step")))
+    counted = ordered_scan(moves, ["run_id"], ["ts", "rank", "id", "step"], {"n_open": running_sum(F.col("step"))}, hot_rows)
+    alone = counted.where("rank = 1 AND n_open = 1").select("run_id", "id")
+    key = ["run_id", "id"]
+    routed = asked.join(route(["run_id", "agent"], "by_agent"), key, "left")
+    routed = routed.join(route(["run_id"], "newest").join(alone, key), key, "left")
+    routed = routed.select(*key, "ts", "call_id", F.coalesce("by_agent", "newest").alias("led"))
+    own = route(["run_id", "call_id"], "by_call")
+    # Events without a call id stay out of this join and of the scan, where they would all meet in one task.
+    named = routed.where("call_id IS NOT NULL").join(own, key, "left")
+    direct = named.where("by_call IS NOT NULL").select(*key, F.col("by_call.no").alias("comm_no"))
+    taught = _taught(named.where("by_call IS NULL"))
+    unnamed = routed.where("call_id IS NULL").select(*key, F.col("led.no").alias("comm_no"))
+    return unnamed.unionByName(direct).unionByName(taught)
+
+
+def _taught(events: DataFrame) -> DataFrame:
+    """``run_id, id, comm_no`` of events (run_id, call_id, ts, id, led) by what call ids were taught.
+
+    A scan over each call id in order; its state is one record. A partition is streamed, so a call id with
+    very many events costs time in one task, but no memory.
+    """
+
+    def scan(batches):
+        key = record = until = None
+        for batch in batches:
+            numbers = []
+            runs, calls, times, ids = (batch.column(c) for c in range(4))
+            led_no, led_until = batch.column(4).to_pylist(), batch.column(5).cast("int64").to_pylist()
+            for i, (run, call, at) in enumerate(zip(runs.to_pylist(), calls.to_pylist(), times.cast("int64").to_pylist())):
+                if (run, call) != key:
+                    key, record, until = (run, call), None, None
+                if record is None or (until is not None and (at is None or until <= at)):
+                    record, until = led_no[i], led_until[i]
+                numbers.append(record)
+            yield pa.RecordBatch.from_arrays([runs, ids, pa.array(numbers, pa.int64())], ["run_id", "id", "comm_no"])
+
+    order = ["run_id", "call_id", "ts", "id"]
+    rows = events.select(*order, F.col("led.no").alias("led_no"), F.col("led.until").alias("led_until"))
+    rows = rows.repartition("run_id", "call_id").sortWithinPartitions(*order)
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    return rows.mapInArrow(scan, f"run_id {kinds['run_id']}, id {kinds['id']}, comm_no long")
 
 
 def event_tree(nodes: DataFrame) -> DataFrame:

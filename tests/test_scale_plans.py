@@ -1,5 +1,8 @@
 """The plans for hot groups must give what the plain plans give."""
 
+import datetime as dt
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -68,6 +71,58 @@ def test_correlate_does_not_depend_on_the_plan(spark):
     assert plain.exceptAll(split).isEmpty() and split.exceptAll(plain).isEmpty()
 
 
+def plain_correlation(events, records):
+    """The routes of ``correlate``, event by event."""
+    out, taught = {}, {}
+    for run, number, ts, agent, call in sorted(events, key=lambda e: (e[2], e[1])):
+        live = sorted(((o, n, a, c, z) for r, n, a, c, o, z in records if r == run and o is not None and o <= ts and (z is None or z > ts)))
+        until = {n: z for _, n, _, _, z in live}
+        of_call = [n for _, n, _, c, _ in live if call and c == call]
+        of_agent = [n for _, n, a, _, _ in live if agent and a == agent]
+        led = of_agent[-1] if of_agent else live[0][1] if len(live) == 1 else None
+        if of_call:
+            led = of_call[-1]
+        elif call:
+            held = taught.get((run, call))
+            if held is None or held not in until:
+                taught[run, call] = held = led
+            led = held
+        out[run, number] = led
+    return out
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 1])
+def test_correlate_event_by_event(spark, hot_rows):
+    rng = random.Random(hot_rows)
+    start = dt.datetime(2024, 1, 1, 12)
+    moment = lambda s: start + dt.timedelta(seconds=s)
+    records, events = [], []
+    for i in range(400):
+        opened = None if i % 97 == 5 else moment(rng.randrange(3000))
+        length = rng.choice([0, 3, 30, 300, 2000, None])
+        closed = None if length is None or opened is None or i % 50 else opened + dt.timedelta(seconds=length)
+        if length is not None and opened is not None:
+            closed = opened + dt.timedelta(seconds=length)
+        records.append((rng.choice([1, 1, 1, 2]), i + 1, rng.choice("abc") if i % 11 else None, rng.choice(["x", "y", None, None]), opened, closed))
+    for i in range(600):
+        events.append((rng.choice([1, 1, 2, 3]), i, moment(rng.randrange(-5, 3500)), rng.choice(["a", "b", "c", "d", None]), rng.choice(["x", "y", "z", "w", None])))
+    left = spark.createDataFrame(events, "run_id long, id long, ts timestamp_ntz, agent string, call_id string")
+    right = spark.createDataFrame(records, "run_id long, comm_no long, agent string, call_id string, opened_at timestamp_ntz, closed_at timestamp_ntz")
+    got = {(r.run_id, r.id): r.comm_no for r in runlog.correlate(left, right, hot_rows=hot_rows).collect()}
+    assert got == plain_correlation(events, records)
+    zoned = runlog.correlate(left.withColumn("ts", F.col("ts").cast("timestamp")), right.withColumns({c: F.col(c).cast("timestamp") for c in ("opened_at", "closed_at")}), hot_rows=hot_rows)
+    assert {(r.run_id, r.id): r.comm_no for r in zoned.collect()} == got
+
+
+def test_the_newest_record_still_open_is_found(spark):
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    records = [(1, 1, "a", None, at(1), None), (1, 2, "a", None, at(2), None), (1, 3, "a", None, at(3), at(4))]
+    right = spark.createDataFrame(records, "run_id long, comm_no long, agent string, call_id string, opened_at timestamp_ntz, closed_at timestamp_ntz")
+    left = spark.createDataFrame([(1, 9, at(5), "a", None)], "run_id long, id long, ts timestamp_ntz, agent string, call_id string")
+    for hot_rows in (100, 1):
+        assert runlog.correlate(left, right, hot_rows=hot_rows).first().comm_no == 2
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.one_of(st.none(), st.floats(-50, 50), st.sampled_from([1.0, 2.0, float("nan")])), min_size=1, max_size=120))
 def test_bracketed_quantiles_are_exact(spark, values):
