@@ -39,6 +39,26 @@ def scale_onehot(t):
     return rows.select("o_orderkey", F.size(cells).cast("long").alias("width"), hot.alias("hot"))
 
 
+@query(
+    "onehot_wide",
+    """WITH c AS (SELECT *, CASE WHEN l_linenumber <= 2 THEN l_orderkey || '/' || l_linenumber ELSE l_shipdate::DATE || '' END AS key FROM lineitem),
+    d AS (SELECT key, row_number() OVER (ORDER BY count(*) DESC, key) AS place FROM c WHERE l_quantity < 45 GROUP BY key), s AS (SELECT count(*) AS k FROM d)
+    SELECT l_orderkey, l_linenumber, 1 + k AS width, CASE WHEN place IS NULL THEN 0 ELSE 1 END AS hot, CASE WHEN place IS NULL THEN 0 ELSE place END AS hot_at FROM c LEFT JOIN d USING (key), s""",
+)
+def onehot_wide(t):
+    """A column of more than 20,000 categories at the small scale: where each row's hot cell is. The encoder is
+    fitted on part of the rows, so some categories are unknown."""
+    key = F.when(F.col("l_linenumber") <= 2, F.concat_ws("/", "l_orderkey", "l_linenumber")).otherwise(F.col("l_shipdate").cast("date").cast("string"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", key.alias("key"))
+    model = models.fit_tabular_features(rows.where("l_quantity < 45"), ["l_quantity", "key"])
+    # The vector as text: "(size,[indices],[values])", so that no row is opened to its full width.
+    shown = F.to_json(F.struct("features"))
+    width = F.get_json_object(shown, "$.features.size").cast("long")
+    cells = F.from_json(F.get_json_object(shown, "$.features.indices"), "array<long>")
+    hot = (F.size(cells) - 1).cast("int")
+    return model.transform(rows).select("l_orderkey", "l_linenumber", width.alias("width"), hot.alias("hot"), F.when(hot == 1, F.get(cells, F.lit(1))).otherwise(0).alias("hot_at"))
+
+
 @query(
     "tfidf_features",
     """WITH words AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]{2,}') AS w FROM conversations),

@@ -19,13 +19,10 @@ from pyspark.ml.feature import (
     IDF,
     CountVectorizer,
     ElementwiseProduct,
-    FeatureHasher,
     NGram,
     Normalizer,
-    OneHotEncoder,
     RegexTokenizer,
     SQLTransformer,
-    StringIndexer,
     StringIndexerModel,
     VectorAssembler,
 )
@@ -38,6 +35,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.metricrules import TECHNIQUE_ALIASES
 from millrace.operators import metrics as M
+from millrace.operators.categories import SparseFeatures, fit_dictionary
 from millrace.operators.contracts import attach_predictions
 from millrace.operators.folds import FOLDS, SEED, plain_folds, stratified_folds
 from millrace.operators.prep import align_schema
@@ -56,8 +54,7 @@ STEP = 0.1
 LOGISTIC_STEPS = 60
 MAX_TECHNIQUES = 3
 
-MAX_CATEGORIES = 10_000
-HASHED_WIDTH = 1 << 14
+MAX_CLASSES = 10_000
 PARALLEL_FITS = 4
 
 
@@ -104,42 +101,24 @@ def fit_scaling(train: DataFrame, columns: list[str]) -> SQLTransformer:
 def fit_tabular_features(train: DataFrame, columns: list[str], out: str = "features") -> PipelineModel:
     """Scaled numbers and one-hot categories; an unknown category becomes all zeros.
 
-    The index of a category lives on the driver, so a column with more than ``MAX_CATEGORIES``
-    values is hashed instead.
+    Categories live in a dictionary table that is joined to the rows, so a column may have any number of them.
     """
-    features = train.select(*columns)
-    numeric = numeric_columns(features)
+    numeric = numeric_columns(train.select(*columns))
     categorical = [c for c in columns if c not in numeric]
-    stages, inputs, current = [], [], train
-    if numeric:
-        scaling = fit_scaling(train, numeric)
-        stages.append(scaling)
-        inputs += [f"{c}__z" for c in numeric]
-    if categorical:
-        texts = ", ".join(f"coalesce(cast({_quoted(c)} as string), '{MISSING_CATEGORY}') AS {_quoted(c + '__t')}" for c in categorical)
-        stages.append(SQLTransformer(statement=f"SELECT *, {texts} FROM __THIS__"))
-        sizes = train.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in categorical]).first()
-        wide = [c for c in categorical if sizes[c] > MAX_CATEGORIES]
-        narrow = [c for c in categorical if c not in wide]
-        for stage in stages:
-            current = stage.transform(current)
-        if narrow:
-            indexer = StringIndexer(
-                inputCols=[f"{c}__t" for c in narrow], outputCols=[f"{c}__i" for c in narrow], handleInvalid="keep"
-            ).fit(current)
-            indexed = indexer.transform(current)
-            # The extra slot that "keep" reserves for unknown values is the last one: dropped, it is all zeros.
-            encoder = OneHotEncoder(
-                inputCols=[f"{c}__i" for c in narrow], outputCols=[f"{c}__h" for c in narrow], dropLast=True
-            ).fit(indexed)
-            stages += [indexer, encoder]
-            inputs += [f"{c}__h" for c in narrow]
-        if wide:
-            stages.append(FeatureHasher(inputCols=[f"{c}__t" for c in wide], outputCol="__hashed", numFeatures=HASHED_WIDTH))
-            inputs.append("__hashed")
-    if not inputs:
+    if not columns:
         raise ValueError("no feature columns")
-    stages.append(VectorAssembler(inputCols=inputs, outputCol=out))
+    stages, current = [], train
+    if numeric:
+        stages.append(fit_scaling(train, numeric))
+    if not categorical:
+        stages.append(VectorAssembler(inputCols=[f"{c}__z" for c in numeric], outputCol=out))
+        return PipelineModel(stages)
+    texts = ", ".join(f"coalesce(cast({_quoted(c)} as string), '{MISSING_CATEGORY}') AS {_quoted(c + '__t')}" for c in categorical)
+    stages.append(SQLTransformer(statement=f"SELECT *, {texts} FROM __THIS__"))
+    current = stages[-1].transform(current)
+    names = [f"{c}__t" for c in categorical]
+    path, sizes = fit_dictionary(current, names)
+    stages.append(SparseFeatures(path, [f"{c}__z" for c in numeric], names, sizes, out))
     return PipelineModel(stages)
 
 
@@ -233,8 +212,8 @@ def labelled(train: DataFrame, task: Task) -> tuple[DataFrame, list[str]]:
     if task.is_regression:
         y = F.col(task.target).cast("double")
         return train.withColumn("__label", F.log1p(F.greatest(y, F.lit(0.0))) if task.log_target else y), []
-    names = [r[0] for r in train.select(F.col(task.target).cast("string")).distinct().limit(MAX_CATEGORIES).collect()]
-    if len(names) >= MAX_CATEGORIES:
+    names = [r[0] for r in train.select(F.col(task.target).cast("string")).distinct().limit(MAX_CLASSES).collect()]
+    if len(names) >= MAX_CLASSES:
         raise ValueError("the target has too many classes for a classifier")
     names = [n for n in names if n is not None]
     try:
