@@ -39,7 +39,7 @@ TILE_BITS = 10
 #: Along each side, so many tiles may be counted by direct address; later ones are sparse by rank.
 DENSE_SIDE = 64
 #: Occurrences that a task or bucket holds before it adds them up, and distinct pairs before a task sends them.
-HELD, SENT = 1 << 21, 1 << 22
+HELD, SENT = 1 << 20, 1 << 21
 BUCKET_WORDS = 1 << 20
 FAN_IN = 256
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
