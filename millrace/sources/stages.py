@@ -16,6 +16,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    place, system = _file_system(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(place)] if system.exists(place) else []
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that this package wrote."""
+    for path in paths:
+        place, system = _file_system(spark, path)
+        system.delete(place, True)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Parquet by suffix, anything else as tolerant CSV."""
     if not exists(spark, path):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.numbers import elapsed_ms
 from millrace.operators.spend import SOFT_LIMIT_PERCENT
-from millrace.sources.stages import exists
+from millrace.sources.stages import children, exists, remove
 
 # Limits of a run.
 MAX_TRANSITIONS = 12
@@ -69,8 +69,15 @@ def record_registry(messages: DataFrame) -> DataFrame:
     )
 
 
-def run_spend(spend: DataFrame) -> DataFrame:
-    return spend.groupBy("run_id").agg(F.sum("tokens").alias("spent"))
+def run_spend(spend: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """Tokens per run, or per run and agent."""
+    return spend.groupBy(*by).agg(F.sum("tokens").alias("spent"))
+
+
+def agent_flags(totals: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """Agents over the cap of their own; an agent without a cap is never over."""
+    cap = F.element_at(F.create_map(*[F.lit(v) for kv in caps.items() for v in kv]), F.col("agent")) if caps else F.lit(None)
+    return totals.select("run_id", "agent", "spent", cap.cast("long").alias("cap"), F.coalesce(F.col("spent") >= cap, F.lit(False)).alias("over"))
 
 
 def budget_flags(totals: DataFrame, cap: int, soft_percent: float = SOFT_LIMIT_PERCENT) -> DataFrame:
@@ -109,41 +116,100 @@ def cap_flags(visits: DataFrame) -> DataFrame:
 
 
 class SnapshotSink:
-    """Keyed result table fed by ``foreachBatch``.
+    """Keyed result table fed by ``foreachBatch``, kept small by merging.
 
-    Each micro-batch overwrites a folder of its own, so a batch that runs twice after a failure
-    leaves the same files. Readers take the newest row per key; :meth:`first` takes the oldest row
-    that meets a condition, which is how an alert is raised once.
+    Each micro-batch writes a folder of its own. ``FAN`` folders of one level are merged into one of the next level with
+    one row per key, so a reader opens at most ``FAN`` folders of each level, whose number is the logarithm of the number of
+    batches. A batch or a merge that runs twice after a failure leaves the same rows. Readers take the newest row per
+    key, or with ``keep="first"`` the oldest one, which is how an alert is raised once.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key: list[str]):
-        self.spark, self.root, self.key = spark, root.rstrip("/"), key
+    FAN = 8
 
-    def write(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
+    def __init__(self, spark: SparkSession, root: str, key: list[str], keep: str = "last"):
+        self.spark, self.root, self.key, self.keep = spark, root.rstrip("/"), key, keep
 
-    def rows(self) -> DataFrame:
-        if not exists(self.spark, self.root):
-            raise FileNotFoundError(f"no batch was written to {self.root}")
-        return self.spark.read.option("basePath", self.root).parquet(f"{self.root}/batch=*")
+    def _folder(self, level: int, number: int) -> str:
+        return f"{self.root}/level={level}/part={number}"
 
-    def _pick(self, rows: DataFrame, order: Column) -> DataFrame:
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        if self._covered(0, batch_id):
+            return  # a repeated batch that was merged already
+        batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(self._folder(0, batch_id))
+        level, number = 0, batch_id
+        while (number + 1) % self.FAN == 0:
+            children = [self._folder(level, n) for n in range(number + 1 - self.FAN, number + 1)]
+            level, number = level + 1, number // self.FAN
+            present = [c for c in children if exists(self.spark, f"{c}/_SUCCESS")]
+            if present and not exists(self.spark, f"{self._folder(level, number)}/_SUCCESS"):
+                merged = self._pick(self.spark.read.parquet(*present))
+                merged.write.mode("overwrite").parquet(self._folder(level, number))
+        # What was merged two levels down is not read any more, also not by a reader that began before the merge.
+        if level >= 2:
+            remove(self.spark, [self._folder(level - 2, n) for n in range(number * self.FAN**2, (number + 1) * self.FAN**2)])
+
+    def _covered(self, level: int, number: int) -> bool:
+        while number >= 0:
+            level, number = level + 1, number // self.FAN
+            if exists(self.spark, f"{self._folder(level, number)}/_SUCCESS"):
+                return True
+            if number == 0 and not exists(self.spark, f"{self.root}/level={level}"):
+                return False
+        return False
+
+    def folders(self) -> list[str]:
+        """What a reader opens: on each level the folders that no higher level has merged."""
+        levels = sorted(int(n.removeprefix("level=")) for n in children(self.spark, self.root) if n.startswith("level="))
+        found, merged_to = [], 0
+        for level in reversed(levels):
+            parts = sorted(int(n.removeprefix("part=")) for n in children(self.spark, f"{self.root}/level={level}") if n.startswith("part="))
+            for n in parts:
+                if n * self.FAN**level >= merged_to and exists(self.spark, f"{self._folder(level, n)}/_SUCCESS"):
+                    found.append((level, n))
+            merged_to = max([merged_to, *[(n + 1) * self.FAN**level for k, n in found if k == level]])
+        return [self._folder(level, n) for level, n in found]
+
+    def _pick(self, rows: DataFrame) -> DataFrame:
         rest = [c for c in rows.columns if c not in self.key]
-        best = rows.groupBy(*self.key).agg(F.max_by(F.struct(*rest), order).alias("r"))
+        pick = F.max_by if self.keep == "last" else F.min_by
+        best = rows.groupBy(*self.key).agg(pick(F.struct(*rest), F.col("batch")).alias("r"))
         return best.select(*self.key, "r.*")
 
-    def latest(self) -> DataFrame:
-        return self._pick(self.rows(), F.col("batch")).drop("batch")
+    def current(self) -> DataFrame:
+        """One row per key."""
+        folders = self.folders()
+        if not folders:
+            raise FileNotFoundError(f"no batch was written to {self.root}")
+        return self._pick(self.spark.read.parquet(*folders)).drop("batch")
 
-    def first(self, condition: str) -> DataFrame:
-        return self._pick(self.rows().where(condition), -F.col("batch"))
+    latest = current
 
 
-def run_available(aggregate: DataFrame, sink: SnapshotSink, checkpoint: str) -> None:
-    """Process everything that has arrived since the checkpoint, then stop."""
-    writer = aggregate.writeStream.outputMode("update").foreachBatch(sink.write)
-    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_available(aggregate: DataFrame, sink: SnapshotSink, checkpoint: str, alerts: dict[str, SnapshotSink] | None = None, by_clock: bool = False) -> None:
+    """Process everything that has arrived since the checkpoint, then stop.
+
+    ``alerts``: sinks that get the rows of each batch that meet a condition. State that expires by the clock
+    (``by_clock``) would keep asking for batches without data; as the job stops when all data is read, it goes without them.
+    """
+    conf, spark = "spark.sql.streaming.noDataMicroBatches.enabled", aggregate.sparkSession
+    before = spark.conf.get(conf)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if alerts:
+            batch.persist()
+        sink.write(batch, batch_id)
+        for condition, other in (alerts or {}).items():
+            other.write(batch.where(condition), batch_id)
+        batch.unpersist()
+
+    writer = aggregate.writeStream.outputMode("update").foreachBatch(write)
+    try:
+        if by_clock:
+            spark.conf.set(conf, "false")
+        query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(conf, before)
 
 
 def append_available(rows: DataFrame, path: str, checkpoint: str) -> None:
