@@ -57,5 +57,35 @@ def with_position(df: DataFrame, group: list[str], order: list[str], name: str)
     return joined.select(*df.columns, (F.col(row) + F.col(base)).cast("long").alias(name))
 
 
+def give_back() -> None:
+    """Hand freed memory of this worker back to the system.
+
+    Spark keeps Python workers for later tasks, and neither Arrow nor the C library returns what a task has freed, so an
+    executor would hold the sum of all its stages' peaks.
+    """
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(work):
+    """An Arrow worker function that gives its memory back when its task ends."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

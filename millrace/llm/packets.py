@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import give_back, tidy, written
 
 PACKET_BYTES = 4 << 20
 CELLS_PER_BYTE = 4
@@ -72,7 +72,7 @@ def pack_rows(docs: DataFrame, label: str, packet_bytes: int = PACKET_BYTES) ->
         if held:
             yield flush()
 
-    return written(docs.mapInArrow(pack, "packet long, n_bytes long, body binary"), label)
+    return written(docs.mapInArrow(tidy(pack), "packet long, n_bytes long, body binary"), label)
 
 
 def unpack(body: bytes) -> pa.RecordBatch:
@@ -158,6 +158,7 @@ def exchange(messages: DataFrame, answer: Callable[[list[bytes]], list[bytes]])
 
     def merge(group: pa.Table) -> pa.Table:
         replies = answer(group.column("body").to_pylist())
+        give_back()
         return pa.table({"packet": group.column("packet"), "slice": group.column("slice"), "body": pa.array(replies, pa.binary())})
 
     replies = messages.groupBy("slice").applyInArrow(merge, "packet long, slice int, body binary")
@@ -228,4 +229,4 @@ def estimate_counts(packets: DataFrame, hashes: Callable[[pa.RecordBatch], np.nd
             for packet, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 yield message_batch(packet, Cells(hashes(unpack(body.as_py())), bits).messages())
 
-    return exchange(packets.select("packet", "body").mapInArrow(send, MESSAGE), _merge_counts)
+    return exchange(packets.select("packet", "body").mapInArrow(tidy(send), MESSAGE), _merge_counts)
