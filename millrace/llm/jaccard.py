@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import packets as P
-from millrace.llm.common import written
+from millrace.llm.common import tidy, written
 from millrace.llm.components import connected_components
 from millrace.session import cut_lineage
 
@@ -107,7 +107,7 @@ def shingle_entries(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame
 
     schema = "doc_id long, packet long, row int, n int, class binary, pivots array<long>, places array<int>"
     joined = packets.select("packet", "body").join(counts, "packet", "left")
-    return packets, written(joined.mapInArrow(entries, schema), "jaccard-entries")
+    return packets, written(joined.mapInArrow(tidy(entries), schema), "jaccard-entries")
 
 
 def class_texts(packets: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def class_texts(packets: DataFrame, rows: DataFrame, members: DataFrame) -> Data
                 packed = [pack.compress(texts[w["row"]].as_py()) for w in row["wanted"]]
                 yield pa.RecordBatch.from_pydict({"class": pa.array([w["class"] for w in row["wanted"]], pa.binary()), "text": pa.array(packed, pa.binary())})
 
-    return written(packets.select("packet", "body").join(by_packet, "packet").mapInArrow(pick, "class binary, text binary"), "jaccard-texts")
+    return written(packets.select("packet", "body").join(by_packet, "packet").mapInArrow(tidy(pick), "class binary, text binary"), "jaccard-texts")
 
 
 def compare_pairs(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -145,7 +145,7 @@ def compare_pairs(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
     of = lambda key, text: texts.select(F.col("class").alias(key), F.col("text").alias(text))
     rows = pairs.select("a", "b").join(of("a", "ta"), "a").join(of("b", "tb"), "b").select("a", "b", "ta", "tb")
-    return written(rows.mapInArrow(compare, "a binary, b binary, na int, nb int, shared int"), "jaccard-pairs")
+    return written(rows.mapInArrow(tidy(compare), "a binary, b binary, na int, nb int, shared int"), "jaccard-pairs")
 
 
 def jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, direct_share: float = DIRECT_SHARE) -> tuple[DataFrame, DataFrame]:
@@ -255,4 +255,4 @@ def keep_first_of_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PE
                 kept = body.filter(pa.array(stay))
                 yield pa.RecordBatch.from_arrays(kept.columns, names=names)
 
-    return packets.select("packet", "body").join(by_packet, "packet", "left").select("body", "gone").mapInArrow(keep, docs.schema)
+    return packets.select("packet", "body").join(by_packet, "packet", "left").select("body", "gone").mapInArrow(tidy(keep), docs.schema)

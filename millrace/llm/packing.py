@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import tidy, written
 from millrace.llm.tokens import text_encoder
 
 MAX_TOKENS = 4096
@@ -143,10 +143,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = MAX_TOKENS,
         yield pa.RecordBatch.from_pydict({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(_KINDS)})
 
     source = docs.select("doc_id", "text")
-    placed = written(source.mapInArrow(first, PIECE + ", ids binary"), "pieces")
+    placed = written(source.mapInArrow(tidy(first), PIECE + ", ids binary"), "pieces")
     names = [name for name, _ in _KINDS]
     packed = placed.filter(F.col("sequence_id").isNotNull()).select(names)
     loose = placed.filter(F.col("sequence_id").isNull())
     # Each of these tasks gets the leftovers of about LEFTOVERS tasks: under LEFTOVERS * capacity ids.
     tasks = -(-source.rdd.getNumPartitions() // LEFTOVERS)
-    return packed.unionByName(loose.coalesce(tasks).mapInArrow(second, PIECE))
+    return packed.unionByName(loose.coalesce(tasks).mapInArrow(tidy(second), PIECE))

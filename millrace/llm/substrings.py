@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.llm import packets as P
+from millrace.llm.common import tidy
 from millrace.session import cut_lineage
 
 WINDOW = 13
@@ -128,7 +129,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, measures: tuple[str,
                 w = _Windows(P.unpack(row["body"]), window, cache)
                 yield P.message_batch(row["packet"], _Repeats(w, P.replies_of(row["counts"]), bits).messages())
 
-    smaller = P.exchange(counted.mapInArrow(send, P.MESSAGE), _least_elsewhere)
+    smaller = P.exchange(counted.mapInArrow(tidy(send), P.MESSAGE), _least_elsewhere)
     schema = StructType([*docs.schema.fields, *[StructField(m, LongType()) for m in measures]])
     text_at = docs.columns.index("text")
 
@@ -157,4 +158,4 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, measures: tuple[str,
                 columns[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(w.n_words), pa.array(removed, pa.int64())], names=schema.names)
 
-    return counted.join(smaller, "packet", "left").mapInArrow(cut, schema)
+    return counted.join(smaller, "packet", "left").mapInArrow(tidy(cut), schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.common import held_out
+from millrace.llm.common import held_out, tidy
 
 EXAMPLES = 4096
 TERMS = 2048
@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     n = chosen.groupBy("toxic").count().collect()
     n = {r["toxic"]: r["count"] for r in n}
     n1, n0 = n.get(1, 0), n.get(0, 0)
-    seen = chosen.mapInArrow(distinct_terms, "word string, a long, df long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("df").alias("df"))
+    seen = chosen.mapInArrow(tidy(distinct_terms), "word string, a long, df long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("df").alias("df"))
     # Chi-squared of term against label: a toxic and b clean examples have it, c and d have not.
     a, b = F.col("a").cast("double"), (F.col("df") - F.col("a")).cast("double")
     c, d = n1 - a, n0 - b
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
                 total[numbers.count(text or "")[0]] += 1
         yield pa.RecordBatch.from_pydict({"term": pa.array(range(-1, len(names)), pa.int32()), "df": pa.array([rows, *total.tolist()], pa.int64())})
 
-    df = dict(docs.select("text").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df")).collect())
+    df = dict(docs.select("text").mapInArrow(tidy(frequencies), "term int, df long").groupBy("term").agg(F.sum("df")).collect())
     idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(names))])
 
     def vectors(batches):
@@ -248,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
             counted = [numbers.count(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "toxic": batch.column(1), "terms": pa.array([t for t, _ in counted], pa.list_(pa.int32())), "counts": pa.array([c for _, c in counted], pa.list_(pa.int64()))})
 
-    rows = chosen.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<long>").collect()
+    rows = chosen.mapInArrow(tidy(vectors), "doc_id long, toxic int, terms array<int>, counts array<long>").collect()
     rows.sort(key=lambda r: (r.doc_id, r.terms, r.counts))
     full = [r for r in rows if r.terms]
     toxic = np.array([r.toxic for r in full], dtype=np.int64)
@@ -291,4 +291,4 @@ def add_scores(docs: DataFrame, model: Model, score: str = "score", evidence: st
                 found.append(e)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(found, example)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
