@@ -102,6 +102,26 @@ def keyword_topk(t):
     return corpus.keyword_top(chunks, QUERIES, 10).select("query_id", "source", "chunk_no", "score", "rank")
 
 
+@query(
+    "retrieve_batch",
+    f"""WITH RECURSIVE {_CHUNKS}, q AS (SELECT doc_id AS query_id, substr(text, 1, 60) AS query FROM documents WHERE trim(substr(text, 1, 60)) <> ''),
+    terms AS (SELECT DISTINCT query_id, lower(term) AS term FROM (SELECT query_id, unnest(regexp_extract_all(query, '[a-zA-Z0-9_]{{3,}}')) AS term FROM q)),
+    words AS (SELECT DISTINCT term FROM terms), hits AS (SELECT source, chunk_no, term FROM chunks JOIN words ON contains(lower(text), term)),
+    scored AS (SELECT query_id, source, chunk_no, count(*) AS score FROM hits JOIN terms USING (term) GROUP BY 1, 2, 3),
+    firsts AS (SELECT source, chunk_no FROM chunks ORDER BY source, chunk_no LIMIT 5),
+    every AS (SELECT * FROM scored UNION ALL SELECT query_id, source, chunk_no, 0 FROM firsts, q WHERE query_id NOT IN (SELECT query_id FROM scored)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, chunk_no) AS rank FROM every QUALIFY rank <= 5),
+    copies AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(regexp_replace(text, '\\s+', ' ', 'g')) ORDER BY rank) AS nth FROM ranked JOIN chunks USING (source, chunk_no))
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, '[' || source || '] ' || text AS passage FROM copies WHERE nth = 1""",
+)
+def retrieve_batch(t):
+    """The beginning of every document as a query: top chunks, copies dropped, formatted."""
+    head = F.substring("text", 1, 60)
+    queries = t.documents.select(F.col("doc_id").alias("query_id"), head.alias("query"))
+    chunks = corpus.chunk_documents(corpus_files(t), "name", "body")
+    return corpus.retrieve(chunks, queries, 5).select("query_id", "rank", "passage")
+
+
 @query(
     "query_cross_score",
     """WITH terms AS (SELECT term FROM (SELECT unnest(['the', 'tion', 'und', 'que', 'nicht']) AS term))

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import (
@@ -14,19 +13,19 @@ from millrace.functions.text import (
     passage,
     passage_body,
     passage_key,
-    query_terms,
     strip,
     strip_headings,
     strip_leading_heading,
     unify_line_breaks,
 )
+from millrace.operators.retrieval import DEFAULT_K, embedding_top, keyword_top, label_centroids, query_table
+
+__all__ = ["embedding_top", "keyword_top", "label_centroids"]
 
 # Fixed values of the chunker.
 CHUNK_CHARS = 1200
 MERGE_CHARS = 400
-DEFAULT_K = 4
 
-MAX_QUERIES = 1000
 _MARK = r"[ \t]*#{1,6}[ \t]+[^\n]*\S"
 _HEADING = r"\A[ \t]*(#{1,6})[ \t]+([^\n]*[^\n \t])[ \t]*(?:\n|\z)"
 _ONLY_HEADING = r"\A[ \t]*#{1,6}[ \t]+[^\n]*\S[ \t]*\n?\z"
@@ -34,6 +33,14 @@ _TITLE = r"\A[ \t]*#[ \t]+[^\n]*\S"
 _POSITION = ["section_no", "paragraph_no", "piece_no"]
 
 
+#: Tells rows with one source apart, from the first step of chunking to the last.
+_ROW = "__row"
+
+
+def _row_key(df: DataFrame) -> list[str]:
+    return [_ROW] if _ROW in df.columns else []
+
+
 def split_sections(documents: DataFrame, source: str, text: str) -> DataFrame:
     """``(source, section_no, section, body)`` of markdown texts, one whole file per row.
 
@@ -43,10 +50,12 @@ def split_sections(documents: DataFrame, source: str, text: str) -> DataFrame:
     The steps are separate projections on purpose, so each array is built once; the outer
     explode keeps Spark from adding a filter that would build it again.
     """
-    rows = documents.select(F.col(source).alias("source"), unify_line_breaks(F.col(text)).alias("__clean"))
+    own = _row_key(documents)
+    rows = documents.select(*own, F.col(source).alias("source"), unify_line_breaks(F.col(text)).alias("__clean"))
     cut = F.when(F.contains("__clean", F.lit("#")), F.split("__clean", rf"\n(?={_MARK})"))
     rows = rows.withColumn("__pieces", F.coalesce(cut, F.array("__clean")))
     rows = rows.select(
+        *own,
         "source",
         "__pieces",
         F.array_position(F.transform("__pieces", lambda p: p.rlike(_TITLE)), F.lit(True)).alias("__title_at"),
@@ -57,7 +66,7 @@ def split_sections(documents: DataFrame, source: str, text: str) -> DataFrame:
     rows = rows.withColumn("__whole_title", F.when(~F.col("__has_lines"), F.get("__pieces", (F.col("__title_at") - 1).cast("int"))))
     rows = rows.withColumn("__pieces", F.when(F.col("__has_lines"), F.col("__pieces")).otherwise(whole))
     rows = rows.select(
-        "source", "__title_at", "__has_lines", "__whole_title", F.posexplode_outer("__pieces").alias("section_no", "__piece")
+        *own, "source", "__title_at", "__has_lines", "__whole_title", F.posexplode_outer("__pieces").alias("section_no", "__piece")
     )
     # Filters stay on plain columns: on a computed one Spark would compute it a second time below.
     rows = rows.where(~F.col("__has_lines") | ((F.col("__piece") != "") & ~F.col("__piece").rlike(_ONLY_HEADING)))
@@ -65,13 +74,13 @@ def split_sections(documents: DataFrame, source: str, text: str) -> DataFrame:
     is_title = F.col("__has_lines") & (F.col("section_no") + 1 == F.col("__title_at"))
     body = F.when(F.col("__has_lines"), F.regexp_replace("__piece", _HEADING, "")).otherwise(F.col("__piece"))
     return rows.select(
-        "source", "section_no", F.when((heading != "") & ~is_title, heading).alias("section"), strip(body).alias("body")
+        *own, "source", "section_no", F.when((heading != "") & ~is_title, heading).alias("section"), strip(body).alias("body")
     )
 
 
 def _pieces(sections: DataFrame) -> DataFrame:
     """Paragraph pieces in order; a piece that held nothing but headings is blank."""
-    keys = ["source", "section_no", "section"]
+    keys = [*_row_key(sections), "source", "section_no", "section"]
     rows = sections.select(*keys, F.posexplode_outer(F.split("body", "\n\n")).alias("paragraph_no", "p"))
     rows = rows.where(F.col("p").rlike(NOT_SPACE)).withColumn("p", strip(F.col("p")))
     starts = F.sequence(F.lit(0), F.length("p") - 1, F.lit(CHUNK_CHARS))
@@ -88,23 +97,25 @@ def paragraph_chunks(sections: DataFrame) -> DataFrame:
 
 
 def merge_small(chunks: DataFrame) -> DataFrame:
-    """Join neighbours of one source and section while the joined text stays short.
+    """Join neighbours of one row (or one source) and section while the joined text stays short.
 
-    Each decision depends on what was merged before, so this is a fold over the ordered rows of
-    a partition. All rows of a source must be in one partition, which holds as long as they come
-    from one row by ``explode``; no shuffle takes place.
+    Each decision depends on what was merged before, so this is a fold over the ordered rows of a partition. Chunks that
+    ``chunk_documents`` made carry the key of their row, so rows with one source stay apart; without it the
+    source is the key. All chunks of a row must be in one partition, which holds as long as they come from it by
+    ``explode``; no shuffle takes place.
     """
-    ordered = chunks.sortWithinPartitions("source", *_POSITION)
+    key = (_row_key(chunks) or ["source"])[0]
+    ordered = chunks.sortWithinPartitions(key, *_POSITION)
     source_type = chunks.schema["source"].dataType.simpleString()
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pending, number = None, 0
+        pending, number, row = None, 0, None
         for batch in batches:
             done = []
-            for source, section, text in zip(batch["source"], batch["section"], batch["text"]):
+            for own, source, section, text in zip(batch["own"], batch["source"], batch["section"], batch["text"]):
                 if not text:
                     continue
-                if pending is not None and pending[0] == source:
+                if pending is not None and row == own:
                     if pending[2] == section and len(pending[3]) + 2 + len(text) <= MERGE_CHARS:
                         pending[3] += "\n\n" + text
                         continue
@@ -113,13 +124,13 @@ def merge_small(chunks: DataFrame) -> DataFrame:
                     number = 0
                 if pending is not None:
                     done.append(pending)
-                pending = [source, number, section, text]
+                pending, row = [source, number, section, text], own
             if done:
                 yield pd.DataFrame(done, columns=["source", "chunk_no", "section", "text"])
         if pending is not None:
             yield pd.DataFrame([pending], columns=["source", "chunk_no", "section", "text"])
 
-    return ordered.select("source", "section", "text").mapInPandas(
+    return ordered.select(F.col(key).alias("own"), "source", "section", "text").mapInPandas(
         fold, f"source {source_type}, chunk_no int, section string, text string"
     )
 
@@ -127,9 +138,10 @@ def merge_small(chunks: DataFrame) -> DataFrame:
 def chunk_documents(documents: DataFrame, source: str, text: str) -> DataFrame:
     """``(source, chunk_no, section, text)`` for a table with one whole file per row.
 
-    A row's chunks stay in the row's partition from start to end.
+    A row's chunks stay in the row's partition from start to end, and rows with equal sources are chunked each on its own.
     """
-    return merge_small(_pieces(split_sections(documents, source, text)))
+    keyed = documents.select(F.monotonically_increasing_id().alias(_ROW), F.col(source).alias("source"), F.col(text).alias("__text"))
+    return merge_small(_pieces(split_sections(keyed, "source", "__text")))
 
 
 def dedupe_passages(passages: DataFrame, text: str, order: list[str], by: list[str] = ()) -> DataFrame:
@@ -144,100 +156,26 @@ def dedupe_passages(passages: DataFrame, text: str, order: list[str], by: list[s
     return first.where("not r.__blank").select(*by, *[f"r.{c}" for c in rest])
 
 
-def _top(scored: DataFrame, k: int, order: list[str]) -> DataFrame:
-    # row_number() <= k lets every map task drop all but its own best k rows per query.
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *order)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+def retrieve(
+    chunks: DataFrame, queries: DataFrame | list[tuple[str, str]], k: int = DEFAULT_K, vectors: DataFrame | None = None,
+    query_vectors: DataFrame | None = None, order: list[str] = ("source", "chunk_no"),
+) -> DataFrame:
+    """Formatted passages per query, best first: ``query_id, rank, passage`` and the chunk's columns.
 
-
-def keyword_top(
-    chunks: DataFrame, queries: list[tuple[str, str]], k: int = DEFAULT_K, order: list[str] = ("source", "chunk_no")
-) -> DataFrame:
-    """Best ``k`` chunks per query by how many query terms they contain as substrings.
-
-    ``queries`` are the (id, text) pairs of one request and travel inside the plan. Ties go to
-    the earlier chunk; a query without terms or without any hit gets the first ``k`` chunks.
+    Ranked by vectors where both the chunks (``chunk_id``, ``vector``) and a query (``query_id``, ``vector``) have
+    one, otherwise by terms; copies among a query's top ``k`` are dropped afterwards, so it may get fewer.
     """
-    if len(queries) > MAX_QUERIES:
-        blocks = [queries[i : i + MAX_QUERIES] for i in range(0, len(queries), MAX_QUERIES)]
-        parts = [keyword_top(chunks, block, k, order) for block in blocks]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
-    k, order = max(1, k), list(order)
-    asked = F.array(*[F.struct(F.lit(i).alias("query_id"), query_terms(F.lit(q)).alias("terms")) for i, q in queries if q.strip()])
-
-
-    def scored(lowered: Column) -> Column:
-        return F.transform(
-            asked,
-            lambda q: F.struct(
-                q["query_id"].alias("query_id"),
-                F.size(F.filter(q["terms"], lambda t: F.contains(lowered, t))).alias("score"),
-            ),
-        )
-
-    # Through an array of one, so the text is lower-cased once per chunk and not once per term.
-    scores = F.flatten(F.transform(F.array(F.lower("text")), scored))
-    hits = chunks.select(*chunks.columns, F.explode(F.filter(scores, lambda s: s["score"] > 0)).alias("s")).select(
-        *chunks.columns, "s.*"
-    )
-    top = _top(hits, k, order)
-    # Queries that found nothing share one small list: the first k chunks of the corpus.
-    first = chunks.orderBy(*order).limit(k)
-    every = first.select(*chunks.columns, F.explode(asked).alias("q")).select(*chunks.columns, F.col("q.query_id").alias("query_id"))
-    fallback = every.join(top.select("query_id").distinct(), "query_id", "left_anti").withColumn("score", F.lit(0))
-    return top.unionByName(_top(fallback, k, order))
-
-
-def embedding_top(
-    vectors: DataFrame, query_vectors: list[tuple[int, list[float]]], id_column: str, vector: str, k: int = DEFAULT_K
-) -> DataFrame:
-    """Best ``k`` vectors per query by cosine similarity; ties go to the smaller id.
-
-    The query vectors of one request form a matrix that every task multiplies with its Arrow
-    batches. A batch passes on only its own best ``k`` rows per query, so the shuffle carries
-    ``k`` rows per query and batch whatever the number of vectors.
-    """
-    if len(query_vectors) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} query vectors per request; split the request")
-    k = max(1, k)
-    ids = np.array([q for q, _ in query_vectors], dtype=np.int64)
-    matrix = np.array([v for _, v in query_vectors], dtype=np.float64)
-    norms = np.linalg.norm(matrix, axis=1)
-    unit = np.divide(matrix, norms[:, None], out=np.zeros_like(matrix), where=norms[:, None] > 0)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, unit))  # at most MAX_QUERIES rows
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, queries = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = np.array(batch[vector].tolist(), dtype=np.float64)
-            lengths = np.linalg.norm(rows, axis=1)
-            dots = rows @ queries.T
-            similarity = np.divide(dots, lengths[:, None], out=np.zeros_like(dots), where=lengths[:, None] > 0)
-            similarity = np.round(similarity, 12)
-            keys = batch[id_column].to_numpy()
-            for j, query_id in enumerate(query_ids):
-                order = np.lexsort((keys, -similarity[:, j]))[:k]
-                yield pd.DataFrame({"query_id": query_id, id_column: keys[order], "score": similarity[order, j]})
-
-    key_type = vectors.schema[id_column].dataType.simpleString()
-    scored = vectors.select(id_column, vector).mapInPandas(score, f"query_id long, {id_column} {key_type}, score double")
-    return _top(scored, k, [id_column])
-
-
-def label_centroids(vectors: DataFrame, label: str, vector: str, limit: int = MAX_QUERIES) -> list[tuple[int, list[float]]]:
-    """Mean vector per label, for use as query vectors; the number of labels is checked first."""
-    n_labels = vectors.select(label).distinct().limit(limit + 1).count()
-    if n_labels > limit:
-        raise ValueError(f"more than {limit} labels")
-    parts = vectors.select(label, F.posexplode(vector).alias("i", "x"))
-    means = parts.groupBy(label, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    rows = means.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("v"))
-    return [(r[label], [e["m"] for e in r["v"]]) for r in rows.orderBy(label).collect()]
+    asked = query_table(chunks.sparkSession, queries)
+    wanted = [*chunks.columns, "query_id", "rank"]
+    if vectors is None or query_vectors is None:
+        top = keyword_top(chunks, asked, k, order).select(*wanted)
+    else:
+        embedded = query_vectors.where("vector IS NOT NULL").join(asked.where(F.trim("query") != ""), "query_id", "left_semi")
+        near = embedding_top(vectors, embedded, "chunk_id", "vector", k)
+        by_vector = near.join(chunks, "chunk_id").select(*wanted)
+        rest = asked.join(embedded.select("query_id"), "query_id", "left_anti")
+        top = by_vector if rest.isEmpty() else by_vector.unionByName(keyword_top(chunks, rest, k, order).select(*wanted))
+    return dedupe_passages(format_passages(top), "passage", ["rank"], ["query_id"])
 
 
 def retrieval_query(parts: list[Column], reports: list[Column]) -> Column:

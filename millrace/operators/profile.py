@@ -60,22 +60,26 @@ def counting_form(value: Column) -> Column:
 def column_modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
     """Most frequent text per column, the smallest of tied ones; columns without a value are left out.
 
-    Values are counted in their short form. The texts themselves are only looked at afterwards:
-    where no value repeats, the mode is the plain minimum, otherwise the minimum over the rows
-    whose counting form has the top count.
+    Values are counted in their short form, all columns in one pass. The texts themselves are only looked at where a
+    form that may stand for a long text is among the most frequent ones: all those columns in a second pass.
     """
     counts = value_counts(df, columns, whole=[]).where("value is not null")
-    tops = {r["column"]: r["top"] for r in counts.groupBy("column").agg(F.max("n").alias("top")).collect()}
-    unrepeated = [c for c in columns if tops.get(c) == 1]
-    repeated = [c for c in columns if tops.get(c, 0) > 1]
-    modes: dict[str, str] = {}
-    if unrepeated:
-        row = df.agg(*[F.min(c).alias(c) for c in unrepeated]).first()
-        modes.update({c: row[c] for c in unrepeated})
-    for c in repeated:
-        best = counts.where((F.col("column") == c) & (F.col("n") == tops[c])).select(F.col("value").alias("__form"))
-        rows = df.select(F.col(c).alias("value")).where("value is not null")
-        modes[c] = rows.join(best, counting_form(F.col("value")) == F.col("__form"), "left_semi").agg(F.min("value")).first()[0]
+    digest = F.length("value") == 64
+    tops = counts.groupBy("column").agg(
+        F.max("n").alias("top"),
+        F.min(F.when(~digest, F.struct((-F.col("n")).alias("less"), "value"))).alias("short"),
+        F.max(F.when(digest, F.col("n"))).alias("long"),
+    ).collect()  # one row per column
+    modes = {r["column"]: r["short"]["value"] for r in tops if r["short"] and -r["short"]["less"] == r["top"]}
+    again = {r["column"]: r["top"] for r in tops if r["long"] == r["top"]}
+    if again:
+        top = F.element_at(F.create_map(*[F.lit(v) for kv in again.items() for v in kv]), F.col("column"))
+        names = list(again)
+        best = counts.where(F.col("column").isin(names) & digest & (F.col("n") == top)).select(F.col("column").alias("__column"), F.col("value").alias("__form"))
+        cells = df.select(*[as_text(df.schema[c]).alias(c) for c in names]).unpivot([], names, "column", "value")
+        same = (F.col("column") == F.col("__column")) & (counting_form(F.col("value")) == F.col("__form"))
+        for r in cells.where("value is not null").join(best, same, "left_semi").groupBy("column").agg(F.min("value").alias("least")).collect():
+            modes[r["column"]] = min(x for x in (modes.get(r["column"]), r["least"]) if x is not None)
     return modes
 
 

@@ -72,3 +72,38 @@ def test_saved_model_predicts_the_same(spark, train, tmp_path):
     test = train.drop("label")
     first, second = (dict(models.predict(*m, test, task).collect()) for m in ((model, classes, train.schema), again))
     assert first == second and set(first.values()) == {"yes", "no"}
+
+
+def test_rows_with_one_source_are_chunked_apart(spark):
+    from millrace.operators import corpus
+
+    rows = [("same", "# t\n## s\nfirst text"), ("same", "# t\n## s\nsecond text"), (None, "third"), (None, "fourth\n\nfifth")]
+    df = spark.createDataFrame(rows, "name string, body string").coalesce(1)
+    got = sorted((r.source or "", r.chunk_no, r.text) for r in corpus.chunk_documents(df, "name", "body").collect())
+    assert got == [("", 0, "fourth\n\nfifth"), ("", 0, "third"), ("same", 0, "first text"), ("same", 0, "second text")]
+
+
+def test_modes_of_long_and_short_texts(spark):
+    from millrace.operators import profile
+
+    long_a, long_b, hexed = "a" * 5000, "b" * 5000, "f" * 64
+    rows = [(long_b, "x", hexed, None), (long_b, "x", hexed, None), (long_a, "y", "zz", None), (long_a, "y", "zz", None), ("zzz", None, "q", None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string")
+    assert profile.column_modes(df, ["a", "b", "c", "d"]) == {"a": long_a, "b": "x", "c": hexed}
+
+
+def test_quantile_jobs_do_not_depend_on_columns(spark):
+    from millrace.plans import quantiles
+
+    df = spark.range(3000).selectExpr(*[f"IF(id % 7 = {i % 7}, NULL, (id * {2 * i + 1}) % 997) AS c{i}" for i in range(12)])
+    tracker = spark.sparkContext.statusTracker()
+    jobs = []
+    for n in (2, 12):
+        spark.sparkContext.setJobGroup(f"quantiles-{n}", "")
+        columns = [f"c{i}" for i in range(n)]
+        found = quantiles.exact_quantiles(df, columns, [0.1, 0.5, 0.99], direct_rows=10)
+        spark.sparkContext.setJobGroup("other", "")
+        jobs.append(len(tracker.getJobIdsForGroup(f"quantiles-{n}")))
+        exact = df.agg(*[__import__("pyspark.sql.functions").sql.functions.percentile(c, [0.1, 0.5, 0.99]).alias(c) for c in columns]).first()
+        assert all(abs(x - y) < 1e-9 for c in columns for x, y in zip(found[c], exact[c]))
+    assert jobs[0] == jobs[1], jobs
