@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.metricrules import TECHNIQUE_ALIASES
+from millrace.operators import linear
 from millrace.operators import metrics as M
 from millrace.operators.categories import SparseFeatures, fit_dictionary
 from millrace.operators.contracts import attach_predictions
@@ -300,12 +301,18 @@ def run_experiment(train: DataFrame, task: Task, technique: str, k: int = FOLDS)
         model = fit(assigned.where(F.col("fold") != i), task, name, len(classes))
         return _predictions(model.transform(assigned.where(F.col("fold") == i)), task)
 
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        parts = list(pool.map(one_fold, range(k)))
-    oof = parts[0]
-    for part in parts[1:]:
-        oof = oof.unionByName(part)
-    oof = cut_lineage(oof)
+    columns = feature_columns(ready, task)
+    if name == "ridge" and columns and len(columns) <= linear.MOST_COLUMNS and columns == numeric_columns(ready.select(*columns)):
+        # Numbers only: all folds follow from one scan.
+        fitted = linear.fold_models(assigned, columns, "__label", "fold", k)
+        oof = cut_lineage(_predictions(linear.out_of_fold(assigned, fitted, "fold"), task))
+    else:
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+            parts = list(pool.map(one_fold, range(k)))
+        oof = parts[0]
+        for part in parts[1:]:
+            oof = oof.unionByName(part)
+        oof = cut_lineage(oof)
     if task.is_regression:
         per_fold = M.regression_metrics(oof, "y", "pred", ["fold"])
     else:
