@@ -405,3 +405,25 @@ def numeric_scalars(t):
         numbers.to_number(text).alias("parsed"),
         numbers.percent(F.col("l_tax"), F.col("l_discount")).alias("pct"),
     )
+
+
+@query(
+    "regression_bundle",
+    """WITH r AS (SELECT l_extendedprice AS y, l_quantity * 1500 AS pred, l_linenumber % 5 AS fold FROM lineitem),
+    f AS (SELECT fold, sqrt(avg((y - pred) ** 2)) AS e, sqrt(avg((ln(1 + y) - ln(1 + pred)) ** 2)) AS le FROM r GROUP BY 1),
+    w AS (SELECT sqrt(avg((ln(1 + y) - ln(1 + pred)) ** 2)) AS le, avg(abs(y - pred)) AS mae FROM r)
+    SELECT 'raw' AS kind, round(avg(e), 4) AS rmse, round(avg(e), 4) AS cv_mean, round(stddev_pop(e), 4) AS cv_std, round(any_value(mae), 4) AS mae, count(*)::INTEGER AS n_folds FROM f, w
+    UNION ALL SELECT 'log', round(any_value(w.le), 6), round(avg(f.le), 6), round(stddev_pop(f.le), 6), round(any_value(mae), 4), count(*)::INTEGER FROM f, w""",
+)
+def regression_bundle(t):
+    """The bundle of number predictions, with the target as it is and in logs."""
+    oof = t.lineitem.select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("pred"), (F.col("l_linenumber") % 5).alias("fold"))
+
+    def row(kind, log, digits):
+        m, cv = F.col("metrics"), F.col("cv")
+        return metrics.regression_bundle(oof, log).select(
+            F.lit(kind).alias("kind"), F.round(m["rmse"], digits).alias("rmse"), F.round(cv["mean"], digits).alias("cv_mean"), F.round(cv["std"], digits).alias("cv_std"),
+            F.round(m["mae"], 4).alias("mae"), cv["n_folds"].cast("int").alias("n_folds"),
+        )
+
+    return row("raw", False, 4).unionByName(row("log", True, 6))

@@ -187,6 +187,25 @@ def evaluation_bundle(fold_counts: DataFrame, score: str = "f1") -> DataFrame:
     return metrics.select("metrics", cells.scalar().alias("confusion"), cv.scalar().alias("cv"))
 
 
+def regression_bundle(oof: DataFrame, log_target: bool = False) -> DataFrame:
+    """The bundle's shape for numbers: metric map, no confusion cells, and the cross-validation map.
+
+    With a target learned in logs the error is that of all rows in logs, otherwise the mean of the folds' errors.
+    """
+    score = "rmse_log" if log_target else "rmse"
+    summary = fold_summary(regression_metrics(oof, "y", "pred", ["fold"]), score)
+    whole = regression_metrics(oof, "y", "pred").select(F.col("rmse_log").alias("w"), "mae")
+    one = summary.withColumns({"w": whole.select("w").scalar(), "mae": whole.select("mae").scalar()})
+    rmse = F.col("w") if log_target else F.col("mean")
+    name = F.lit("rmse_log" if log_target else "rmse_raw")
+    cells = F.array().cast("array<struct<y:double,pred:double,n:bigint>>")
+    return one.select(
+        F.create_map(F.lit("rmse"), rmse, name, rmse, F.lit("mae"), "mae").alias("metrics"),
+        cells.alias("confusion"),
+        F.create_map(F.lit("mean"), "mean", F.lit("std"), "std", F.lit("n_folds"), F.col("n_folds").cast("double")).alias("cv"),
+    )
+
+
 def binary_insight(tn: Column, fp: Column, fn: Column, tp: Column) -> Column:
     """Recall, precision and warning flags of a two-class matrix."""
     recall, precision = ratio_or_zero(tp, tp + fn), ratio_or_zero(tp, tp + fp)

@@ -43,7 +43,7 @@ from millrace.operators.prep import align_schema
 from millrace.operators.profile import numeric_columns
 from millrace.operators.roles import Hints
 from millrace.plans.quantiles import exact_quantiles
-from millrace.session import cut_lineage
+from millrace.session import cut_lineage, shared_folder
 
 # Fixed values of the baselines.
 MAX_TERMS = 50_000
@@ -376,8 +376,36 @@ def predict(model: PipelineModel, classes: list[str], train_schema: T.StructType
     return scored.select(task.id_column, value.alias(task.target))
 
 
-def score_and_submit(train: DataFrame, test: DataFrame, sample: DataFrame | None, task: Task, technique: str) -> DataFrame:
-    """Refit, predict and lay the predictions out as the sample file, or as (id, target)."""
-    model, classes = fit_final(train, task, technique)
-    predictions = predict(model, classes, train.schema, test, task)
+def submit_saved(spark: SparkSession, path: str, test: DataFrame, sample: DataFrame | None, task: Task) -> DataFrame:
+    """Predictions of a saved model, laid out as the sample file, or as (id, target)."""
+    predictions = predict(*load_model(spark, path), test, task)
     return predictions if sample is None else attach_predictions(sample, predictions, task.id_column, task.target)
+
+
+def bundle(experiment: Experiment, task: Task) -> DataFrame:
+    """Evaluation bundle of an experiment's out-of-fold predictions: metrics, confusion, cv."""
+    if task.is_regression:
+        return M.regression_bundle(experiment.oof, task.log_target)
+    score = M.score_column(task.metric, False)
+    in_counts = score if score in ("accuracy", "balanced_accuracy", "f1") else "f1"
+    return M.evaluation_bundle(M.confusion_counts(experiment.oof, "y", "pred", ["fold"]), in_counts)
+
+
+def submission_score(submission: DataFrame, truth: DataFrame, task: Task) -> float | None:
+    """The task's metric of (id, target) predictions against known targets; f1 where a metric needs probabilities."""
+    known = truth.select(F.col(task.id_column), F.col(task.target).alias("__truth")).where("__truth IS NOT NULL")
+    rows = known.join(submission, task.id_column)
+    score = M.score_column(task.metric, task.is_regression)
+    if task.is_regression:
+        return M.regression_metrics(rows, "__truth", task.target).first()[score]
+    counts = M.confusion_counts(rows, "__truth", task.target, [])
+    found = M.overall_metrics(counts)
+    return found.first()[score if score in found.columns else "f1"]
+
+
+def score_and_submit(train: DataFrame, test: DataFrame, sample: DataFrame | None, task: Task, technique: str, path: str | None = None) -> DataFrame:
+    """Refit, save, and let the saved model predict."""
+    path = path or shared_folder(train.sparkSession, "model")
+    model, classes = fit_final(train, task, technique)
+    save_model(model, classes, train.schema, path)
+    return submit_saved(train.sparkSession, path, test, sample, task)

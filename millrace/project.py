@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import contracts, models, prep, profile, quality, roles
 from millrace.operators.roles import Hints
-from millrace.session import cut_lineage
+from millrace.session import cut_lineage, shared_folder
 from millrace.sources.stages import StageStore
 
 
@@ -42,6 +42,11 @@ class Result:
     best: object
     submission: DataFrame
     violations: DataFrame
+    #: Metrics, confusion cells and cross-validation of the chosen technique, one row.
+    bundle: DataFrame
+    model_path: str
+    #: Metric of the submission on held-out rows, where there was no test table.
+    holdout_score: float | None = None
 
 
 def understand(train: DataFrame, test: DataFrame | None, settings: Settings) -> Understanding:
@@ -87,12 +92,23 @@ def prepare(train: DataFrame, test: DataFrame | None, settings: Settings, stages
 
 
 def run(
-    train: DataFrame, test: DataFrame, sample: DataFrame | None = None, settings: Settings = Settings(),
-    stages: StageStore | None = None,
-) -> Result:
-    """Understand, prepare, compare baselines and build a submission that keeps its contract."""
+    train: DataFrame, test: DataFrame | None = None, sample: DataFrame | None = None, settings: Settings = Settings(),
+    stages: StageStore | None = None, model_path: str | None = None,
+) -> Result:
+    """Understand, prepare, compare baselines and build a submission that keeps its contract.
+
+    Without a test table a fifth of every class is held out and takes its place; its labels only score the submission.
+    The chosen model is fitted on all of train, saved, and the saved model makes the predictions.
+    """
     understanding = understand(train, test, settings)
     settings = understanding.settings
+    truth = None
+    if test is None:
+        key = [settings.id_column] if settings.id_column else [c for c in train.columns if c != settings.target]
+        split = cut_lineage(prep.stratified_holdout(train, settings.target, key))
+        train, held = (split.where(F.col("is_holdout") == v).drop("is_holdout") for v in (False, True))
+        test = held.drop(settings.target)
+        truth = held.select(settings.id_column, settings.target) if settings.id_column else None
     ready, ready_test = prepare(train, test, settings, stages)
     dropped = prep.wide_text_columns(ready, settings.hints)
     ready, ready_test = ready.drop(*dropped), ready_test.drop(*dropped)
@@ -100,7 +116,12 @@ def run(
     lint = quality.prepared_lint(ready.drop(settings.id_column), settings.target)
     experiments = models.compare_experiments(ready, task, models.technique_ladder(task, settings.preferred))
     best = models.select_best(experiments, task)
-    submission = models.score_and_submit(ready, ready_test, sample, task, best.technique)
+    bundle = models.bundle(best, task)
+    model_path = model_path or shared_folder(ready.sparkSession, "model")
+    model, classes = models.fit_final(ready, task, best.technique)
+    models.save_model(model, classes, ready.schema, model_path)
+    submission = models.submit_saved(ready.sparkSession, model_path, ready_test, sample, task)
     layout = sample if sample is not None else ready_test.select(settings.id_column, F.lit(None).cast(ready.schema[settings.target].dataType).alias(settings.target))
     violations = contracts.submission_violations(submission, layout, settings.id_column)
-    return Result(understanding, ready, ready_test, lint, experiments, best, submission, violations)
+    score = models.submission_score(submission, truth, task) if truth is not None else None
+    return Result(understanding, ready, ready_test, lint, experiments, best, submission, violations, bundle, model_path, score)

@@ -38,6 +38,30 @@ def test_project_from_tables_to_submission(spark):
     assert result.best.cv_score > 0.9 and result.violations.isEmpty() and result.submission.count() == 40
 
 
+def test_project_without_a_test_table(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr("millrace.operators.models.technique_ladder", lambda task, preferred=None: ["logistic_regression"])
+    settings = project.Settings("survived", "person_id", hints=Hints(categorical=("sex",)), metric="accuracy")
+    result = project.run(people(spark), settings=settings, model_path=f"file://{tmp_path}/model")
+    assert result.train.count() == 192 and result.submission.count() == 48 and "survived" not in result.test.columns
+    assert result.holdout_score > 0.9 and result.violations.isEmpty()
+    bundle = result.bundle.first()
+    assert sum(c.n for c in bundle.confusion) == 192 and bundle.cv["mean"] == pytest.approx(result.best.cv_score)
+    from millrace.operators import models
+
+    task = models.Task("survived", "person_id")
+    again = models.submit_saved(spark, f"file://{tmp_path}/model", result.test, None, task)
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in result.submission.collect()}
+
+
+def test_project_of_numbers_without_a_test_table(spark, monkeypatch):
+    monkeypatch.setattr("millrace.operators.models.technique_ladder", lambda task, preferred=None: ["ridge"])
+    rows = spark.range(150).selectExpr("id AS key", "CAST(id % 13 AS double) AS a", "IF(id % 5 = 0, NULL, CAST(id % 7 AS double)) AS b", "3.0 * (id % 13) + 2 + (id % 3) * 0.1 AS price")
+    result = project.run(rows, settings=project.Settings("price", "key", "regression", "rmse", Hints()))
+    bundle = result.bundle.first()
+    assert bundle.confusion == [] and bundle.cv["n_folds"] == 5 and bundle.metrics["rmse"] == pytest.approx(result.best.cv_score)
+    assert 0 < bundle.metrics["rmse"] < 1 and result.holdout_score < 1 and result.submission.count() + result.train.count() == 150
+
+
 def test_stage_resolver_walks_back(spark):
     root = shared_folder(spark, "stages")
     store = stages.StageStore(spark, root, "train.csv", "test.csv")
