@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.catalog.fixtures import ORDERS_SPLIT, orders_test, orders_train
@@ -70,17 +69,8 @@ def onehot_wide(t):
 )
 def tfidf_features(t):
     """Document frequency and total unit-length weight of every term: all terms as rows, so no vocabulary is held anywhere."""
-    conversations = t.conversations
-    words = conversations.select("conv_id", "turn", F.regexp_extract_all(F.lower("text"), F.lit(models.TOKEN), F.lit(0)).alias("w"))
-    pairs = F.zip_with(F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, size(w))"), lambda a, b: F.concat_ws(" ", a, b))
-    terms = words.select("conv_id", "turn", F.explode(F.concat("w", pairs)).alias("term")).groupBy("conv_id", "turn", "term").agg(F.count("*").alias("tf"))
-    df = terms.groupBy("term").agg(F.count("*").alias("n_documents")).filter(F.col("n_documents") >= models.MIN_DOCUMENTS)
-    total = conversations.agg(F.count("*").alias("n"))  # one row
-    df = df.crossJoin(F.broadcast(total)).select("term", "n_documents", (F.log((1 + F.col("n")) / (1 + F.col("n_documents"))) + 1).alias("idf"))
-    weighted = terms.join(df, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("conv_id", "turn")))
-    unit = weighted.select("term", "n_documents", (F.col("w") / length).alias("u"))
-    return unit.groupBy("term").agg(F.first("n_documents").alias("n_documents"), F.round(F.sum("u"), 5).alias("total_weight"))
+    unit = models.tfidf_terms(t.conversations, ["conv_id", "turn"], "text")
+    return unit.groupBy("term").agg(F.first("n_documents").alias("n_documents"), F.round(F.sum("weight"), 5).alias("total_weight"))
 
 
 def _documents_task():

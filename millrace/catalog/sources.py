@@ -135,8 +135,7 @@ def nested_trace_explode(t):
         F.collect_list(event).alias("events")
     )
     documents.select("run_id", "events").write.json(folder)
-    runs = t.spark.read.schema(jsonlines.TRACE_SCHEMA).json(folder)
-    rows = jsonlines.explode_traces(runs)
+    rows = jsonlines.read_traces(t.spark, folder, multi_line=False)
     return rows.select(
         F.col("run_id").cast("long").alias("run_id"), F.col("id").cast("long").alias("id"), "type", F.explode("attributes").alias("attribute", "value")
     )
@@ -147,15 +146,33 @@ def nested_trace_explode(t):
     """SELECT lang, count(*) AS n_lines, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM (SELECT lang, unnest(string_split(text, chr(10))) AS text FROM documents) GROUP BY lang""",
 )
 def text_corpus_scan(t):
-    """Markdown files of the documents, read back whole."""
+    """Text files of the documents, a few for each language, read back whole."""
     folder = shared_folder(t.spark, "corpus")
-    parts = t.documents.select("lang", F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("]\n"), "text").alias("value"))
-    parts.write.partitionBy("lang").text(folder)
-    rows = t.spark.read.option("recursiveFileLookup", True).text(folder).select(F.regexp_extract(F.col("_metadata.file_path"), "lang=([a-z]+)", 1).alias("lang"), "value")
-    body = rows.where(~F.col("value").rlike(r"^\[[0-9]+\]$"))
+    parts = t.documents.select("lang", (F.col("doc_id") % 20).alias("part"), F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("]\n"), "text").alias("value"))
+    parts.write.partitionBy("lang", "part").text(folder)
+    files = listing.read_corpus(t.spark, folder, "*.txt", deep=True)
+    lines = files.select(F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang"), F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("value"))
+    body = lines.where(~F.col("value").rlike(r"^\[[0-9]+\]$"))
     return body.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("value")).alias("n_chars"))
 
 
+@query(
+    "run_manifests",
+    """SELECT c_nationkey::VARCHAR AS case_id, c_custkey::VARCHAR AS run_id, c_mktsegment AS model, CASE WHEN c_acctbal < 0 THEN 'halted' WHEN c_acctbal < 5000 THEN 'complete' ELSE 'running' END AS state FROM customer""",
+)
+def run_manifests(t):
+    """Manifest files found by their paths, joined with the status files; some runs have no status, some an open one."""
+    root = shared_folder(t.spark, "manifests")
+    runs = t.customer.select(F.col("c_nationkey").alias("case"), F.col("c_custkey").alias("run"), "c_mktsegment", "c_acctbal")
+    # A folder for each case holds many runs in one file of this layout, so that runs are rows and not files.
+    runs.select("case", F.struct(F.col("run").cast("string").alias("run_id"), F.col("c_mktsegment").alias("model")).alias("m")).select("case", "m.*").write.partitionBy("case").json(f"{root}/manifest")
+    known = runs.where("c_acctbal < 7000")
+    known.select("case", F.col("run").cast("string").alias("run_id"), (F.col("c_acctbal") < 0).alias("halted"), F.col("c_acctbal").between(0, 4999.995).alias("workflow_complete")).write.partitionBy("case").json(f"{root}/status")
+    manifests = t.spark.read.schema("run_id string, model string, case string").json(f"{root}/manifest").withColumnRenamed("case", "case_id")
+    status = t.spark.read.schema("run_id string, halted boolean, workflow_complete boolean, case string").json(f"{root}/status").withColumnRenamed("case", "case_id")
+    return jsonlines.with_status(manifests, status).select("case_id", "run_id", "model", "state")
+
+
 @query(
     "source_catalog",
     f"""WITH {FILES}, k AS (SELECT case_id, CASE WHEN path LIKE '%.png' THEN 'unsupported' WHEN path LIKE '%.md' THEN 'document' ELSE 'csv' END AS kind FROM files),
@@ -173,7 +190,8 @@ def source_catalog(t):
 def keyed_scan(t):
     """Tasks of the users of one segment, newest id first."""
     users = t.customer.where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("o_custkey"))
-    return t.orders.join(users, "o_custkey", "left_semi").select("o_orderkey", "o_custkey", "o_orderstatus").orderBy(F.desc("o_orderkey"))
+    rows = stages.keyed_rows(t.orders, users, "o_custkey")
+    return rows.select("o_orderkey", "o_custkey", "o_orderstatus").orderBy(F.desc("o_orderkey"))
 
 
 @query(

@@ -29,7 +29,7 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,6 +151,20 @@ def fit_text_features(train: DataFrame, text: str, numeric: list[str] = (), out:
     return PipelineModel(stages)
 
 
+def tfidf_terms(rows: DataFrame, key: list[str], text: str) -> DataFrame:
+    """``key, term, n_documents, weight``: smoothed TF-IDF at unit length per row, for words and word pairs of at least
+    ``MIN_DOCUMENTS`` rows. Terms are rows, so no vocabulary is held anywhere."""
+    words = rows.select(*key, F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)).alias("w"))
+    pairs = F.zip_with(F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, size(w))"), lambda a, b: F.concat_ws(" ", a, b))
+    terms = words.select(*key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+    df = terms.groupBy("term").agg(F.count("*").alias("n_documents")).filter(F.col("n_documents") >= MIN_DOCUMENTS)
+    n = rows.agg(F.count("*")).first()[0]
+    df = df.select("term", "n_documents", (F.log((1 + F.lit(n)) / (1 + F.col("n_documents"))) + 1).alias("idf"))
+    weighted = terms.join(df, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*key)))
+    return weighted.select(*key, "term", "n_documents", (F.col("w") / length).alias("weight"))
+
+
 def normalise_technique(name: str, task: Task) -> str:
     """Known technique name; anything unknown becomes the default of the problem type."""
     plain = name.lower().strip().replace("-", "_").replace(" ", "_")

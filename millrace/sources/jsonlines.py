@@ -37,9 +37,12 @@ EVENT_SCHEMA = (
 TRACE_SCHEMA = f"run_id string, case_id string, started_at timestamp, ended_at timestamp, events array<struct<{EVENT_SCHEMA.replace(' string', ':string').replace(' timestamp', ':timestamp').replace(' double', ':double').replace(' map', ':map')}>>"
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """Trace documents, one row per event with its position in the trace."""
-    runs = spark.read.schema(TRACE_SCHEMA).option("multiLine", True).json(path)
+def read_traces(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Trace documents, one row per event with its position in the trace.
+
+    A file is one document, or with ``multi_line=False`` one document on each line.
+    """
+    runs = spark.read.schema(TRACE_SCHEMA).option("multiLine", multi_line).json(path)
     return explode_traces(runs)
 
 
@@ -53,12 +56,21 @@ def read_first_available(primary: DataFrame, fallback: DataFrame, key: str) -> D
     return primary.unionByName(fallback.join(primary.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
-def run_catalog(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """Manifests below ``<root>/<case>/runs/<run>/manifest.json`` with case and run from the path."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(f"{root}/*/runs/*/manifest.json")
+def run_catalog(spark: SparkSession, root: str, schema: str, file: str = "manifest.json") -> DataFrame:
+    """Files ``<root>/<case>/runs/<run>/<file>`` with case and run from the path."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(f"{root}/*/runs/*/{file}")
     place = F.col("_metadata.file_path")
     return rows.select(
-        F.regexp_extract(place, r"/([^/]+)/runs/[^/]+/manifest\.json$", 1).alias("case_id"),
-        F.regexp_extract(place, r"/runs/([^/]+)/manifest\.json$", 1).alias("run_id"),
+        F.regexp_extract(place, rf"/([^/]+)/runs/[^/]+/{file}", 1).alias("case_id"),
+        F.regexp_extract(place, rf"/runs/([^/]+)/{file}", 1).alias("run_id"),
         *rows.columns,
     )
+
+
+def with_status(manifests: DataFrame, status: DataFrame) -> DataFrame:
+    """Manifests with the status of their run (``case_id, run_id, halted, workflow_complete``): ``state`` is complete,
+    halted, or running where a run has no status yet or says neither."""
+    known = status.select("case_id", "run_id", "halted", "workflow_complete")
+    done, stopped = F.coalesce("workflow_complete", F.lit(False)), F.coalesce("halted", F.lit(False))
+    state = F.when(stopped, "halted").when(done, "complete").otherwise("running")
+    return manifests.join(known, ["case_id", "run_id"], "left").withColumn("state", state)

@@ -62,7 +62,8 @@ def inspect_folder(files: DataFrame, by: list[str] = ()) -> DataFrame:
     return facts.select(*by, "n_files", "n_tables", reason.isNull().alias("runnable"), reason.alias("reason"))
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """``(name, text)`` of whole markdown files, one row per file."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path)
-    return rows.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("name"), F.col("value").alias("text"))
+def read_corpus(spark: SparkSession, path: str, pattern: str = "*.md", deep: bool = False) -> DataFrame:
+    """``(name, text, path)`` of whole text files, one row per file; ``deep`` looks into folders, too."""
+    rows = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", deep).text(path)
+    place = F.col("_metadata.file_path")
+    return rows.select(F.regexp_extract(place, r"([^/]+)$", 1).alias("name"), F.col("value").alias("text"), place.alias("path"))

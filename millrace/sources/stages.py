@@ -43,6 +43,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path)
 
 
+def keyed_rows(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose ``on`` is among ``keys``; a key that comes more than once gives no more rows."""
+    return df.join(keys.select(on), on, "left_semi").select(df.columns)
+
+
 def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows in a stated order; files have no row order of their own."""
     return df.orderBy(*order).limit(n)

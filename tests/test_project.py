@@ -88,6 +88,11 @@ def test_run_catalog_and_corpus_and_listing(spark, tmp_path):
         (folder / "manifest.json").write_text('{"model": "%s"}' % (case + run))
     rows = jsonlines.run_catalog(spark, str(tmp_path), "model string").collect()
     assert sorted((r["case_id"], r["run_id"], r["model"]) for r in rows) == [("a", "r1", "ar1"), ("a", "r2", "ar2"), ("b", "r1", "br1")]
+    (tmp_path / "a" / "runs" / "r1" / "status.json").write_text('{"halted": true}')
+    (tmp_path / "b" / "runs" / "r1" / "status.json").write_text('{"workflow_complete": true}')
+    status = jsonlines.run_catalog(spark, str(tmp_path), "halted boolean, workflow_complete boolean", "status.json")
+    joined = jsonlines.with_status(jsonlines.run_catalog(spark, str(tmp_path), "model string"), status)
+    assert {(r.case_id, r.run_id): r.state for r in joined.collect()} == {("a", "r1"): "halted", ("a", "r2"): "running", ("b", "r1"): "complete"}
     notes = tmp_path / "notes"
     notes.mkdir()
     (notes / "one.md").write_text("# T\n\ntext")
