@@ -117,3 +117,19 @@ def test_edge_cases(spark, labeller):
     assert X.extract(df.limit(0), labeller).count() == 0
     bare = spark.createDataFrame([(1, "u", "<nav>menu</nav><p>text</p>")], SCHEMA)
     assert X.fit(bare) is None and X.extract(bare, None).first().text == "text"
+
+
+@pytest.mark.parametrize("unit", ["x <y ", "<y \"a ", "</script ", "<a ' \" > ", "<!x ", "<object \"", "text </b> <i"])
+def test_tags_that_never_end_take_linear_time(unit):
+    import time
+
+    page = "<article><p>start</p>" + unit * (5_000_000 // len(unit))
+    started = time.perf_counter()
+    blocks = blocks_of(page)
+    assert time.perf_counter() - started < 20 and blocks[0].text == "start"
+
+
+def test_tags_end_outside_of_quotes():
+    page = """<p title="a > b">one</p><p data-x='"'>two</p> 1 < 2 <3 <b class="c">bold</b> <i "never <u>"""
+    assert [b.text for b in blocks_of(page)] == ["one", "two", '1 < 2 <3 bold <i "never']
+    assert [b.text for b in blocks_of("a <y b")] == ["a <y b"]
