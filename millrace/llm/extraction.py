@@ -297,10 +297,10 @@ def altered(blocks: list[Block], pool: list[str], rng: np.random.Generator) -> l
 
 
 def _marking(batches):
-    """The pages with a block that they mark as article."""
+    """Keys of the pages with a block that they mark as article."""
     for batch in batches:
-        own = [any(map(marked, blocks_of(p))) for p in batch.column(1).to_pylist()]
-        yield batch.filter(pa.array(own, pa.bool_()))
+        own = [any(map(marked, blocks_of(p))) for p in batch.column(2).to_pylist()]
+        yield batch.select(["page_id", "drawn"]).filter(pa.array(own, pa.bool_()))
 
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, forms: int = 3) -> BlockLabeller | None:
@@ -308,8 +308,13 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, forms: int = 3) -> B
     small = pages.select("page_id", "html").filter(F.char_length("html").between(1, SAMPLE_CHARS))
     # The tag is looked for first, so that only pages that may mark an article are parsed.
     small = small.filter(F.col("html").rlike("(?i)<(article|main)[\\s/>]"))
-    small = small.mapInArrow(_marking, small.schema)
-    sample = small.orderBy(F.xxhash64("page_id", "html")).limit(sample_pages).collect()
+    small = small.select("page_id", F.xxhash64("page_id", "html").alias("drawn"), "html")
+    # Keys are drawn, so that no task sends pages to the driver but those of the sample.
+    drawn = small.mapInArrow(_marking, small.drop("html").schema).dropDuplicates().orderBy("drawn").limit(sample_pages)
+    keys = F.broadcast(pages.sparkSession.createDataFrame(drawn.collect(), drawn.schema).withColumnsRenamed({"page_id": "__page", "drawn": "__drawn"}))
+    same = F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("drawn") == F.col("__drawn"))
+    sample = small.join(keys, same, "left_semi").dropDuplicates(["page_id", "drawn"]).collect()
+    sample.sort(key=lambda r: r["drawn"])
     known = []
     for row in sample:
         blocks = blocks_of(row["html"])
