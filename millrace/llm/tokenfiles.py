@@ -163,8 +163,8 @@ def read_token_files(files: DataFrame, wanted: frozenset | None = None) -> DataF
                             rows, held = [], 0
                     yield _batch(rows)
 
-    # Files are dealt out by name, so that reading spreads over the cluster again.
-    return placed.select("file", "base").repartition("file").mapInArrow(read, schema)
+    # As many partitions as files, stated as a number: the rows are tiny, and without it they would be merged into one task.
+    return placed.select("file", "base").repartition(max(1, files.count()), "file").mapInArrow(read, schema)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
