@@ -17,6 +17,7 @@ import numpy as np
 
 CACHE_WORDS = 200_000
 BLOCK_CHARS = 1 << 20
+RUN_WORDS = 512
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ENDINGS = ".,;:!?%&$#*"
 
@@ -46,7 +47,7 @@ class _Cache:
                     root = word
                 parts.append((word, self.encoder.folded(root), word[len(root) :]))
         roots = [r for r in dict.fromkeys(r for _, r, _ in parts) if r not in new and r not in old]
-        ids = dict(zip(roots, self.encoder.direct([self.prefix + r if r else "" for r in roots])))
+        ids = dict(zip(roots, self.encoder.words(roots, self.prefix)))
         endings = self.encoder.endings
         fresh = [e for e in {e for _, _, e in parts} if e not in endings]
         endings.update(zip(fresh, self.encoder.direct(fresh)))
@@ -72,11 +73,36 @@ class TextEncoder:
         self.endings: dict[str, bytes] = {"": b""}
         self.plain, self.spaced = _Cache(self, ""), _Cache(self, " ")
         self.line_break = self.direct(["\n"])[0]
+        # Ids that end a word, or begin one behind a space.
+        vocabulary = self.tokenizer.get_vocab()
+        self.edges = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, i in vocabulary.items():
+            self.edges[i] = token.endswith("</w>") if self.drops_space else token.startswith("\u0120")
 
     def direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def words(self, words: list[str], prefix: str) -> list[bytes]:
+        """Ids of each word behind ``prefix``, with many words to a call where the ids tell them apart again."""
+        found: dict[str, bytes] = {}
+        if self.drops_space:
+            joined = [w for w in words if w.isalpha()]  # one piece each, so one id that ends a word
+        else:
+            joined = [w for w in words if w] if prefix else []
+        runs = [joined[i : i + RUN_WORDS] for i in range(0, len(joined), RUN_WORDS)]
+        texts = [prefix + " ".join(run) for run in runs]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []):
+            ids = np.array(e.ids, dtype="<u4")
+            edges = np.flatnonzero(self.edges[ids])
+            cuts = [0, *(4 * (edges + 1)).tolist()] if self.drops_space else [*(4 * edges).tolist(), 4 * len(ids)]
+            if len(edges) == len(run) and cuts[0] == 0 and cuts[-1] == 4 * len(ids):
+                data = ids.tobytes()
+                found.update(zip(run, [data[i:j] for i, j in zip(cuts, cuts[1:])]))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self.direct([prefix + w if w else "" for w in rest])))
+        return [found[w] for w in words]
+
     def unsafe(self, word: str) -> bool:
         return not self.drops_space and (not word or word[0].isspace() or word[-1].isspace())
 
