@@ -33,31 +33,36 @@ class _Cache:
     def learn(self, words: set[str]) -> None:
         if len(self.new) > CACHE_WORDS:
             self.old, self.new = self.new, {}
-        new, old, parts = self.new, self.old, []
-        for word in words:
-            if word in new:
-                continue
-            if word in old:
-                new[word] = old[word]
-            elif self.encoder.unsafe(word):
-                new[word] = None
+        new, old, encoder, folds = self.new, self.old, self.encoder, self.encoder.drops_space
+        whole, ended = [], []
+        for word in [w for w in words if w not in new]:
+            known = old.get(word)
+            if known is not None:
+                new[word] = known
+            elif not folds and (not word or word.strip() != word):
+                new[word] = None  # unsafe: white space at a cut
+            elif word and word[-1] in _ENDINGS and (root := word.rstrip(_ENDINGS)) and root[-1].lower()[-1].isalpha():
+                ended.append((word, encoder.folded(root), word[len(root) :]))
             else:
-                root = word.rstrip(_ENDINGS)
-                if not root or root is word or not root[-1].isalpha():
-                    root = word
-                parts.append((word, self.encoder.folded(root), word[len(root) :]))
-        roots = [r for r in dict.fromkeys(r for _, r, _ in parts) if r not in new and r not in old]
-        ids = dict(zip(roots, self.encoder.words(roots, self.prefix)))
-        endings = self.encoder.endings
-        fresh = [e for e in {e for _, _, e in parts} if e not in endings]
-        endings.update(zip(fresh, self.encoder.direct(fresh)))
-        for word, root, ending in parts:
-            known = ids.get(root)
+                whole.append(word)
+        # A word with an ending is its root's ids and the ending's; a root is kept like a word.
+        roots = {r: None for r in map(encoder.folded, whole) if r not in new} if folds else dict.fromkeys(whole)
+        for _, root, _ in ended:
+            known = new.get(root) or old.get(root)
             if known is None:
-                known = new[root] if root in new else old[root]
-            new[word] = known + endings[ending]
-        for root, known in ids.items():
-            new[root] = known
+                roots[root] = None
+            else:
+                new[root] = known
+        asked = list(roots)
+        ids = dict(zip(asked, encoder.words(asked, self.prefix)))
+        new.update(ids)
+        if folds:
+            new.update(zip(whole, map(new.__getitem__, map(encoder.folded, whole))))
+        endings = encoder.endings
+        fresh = list({e for _, _, e in ended} - endings.keys())
+        endings.update(zip(fresh, encoder.direct(fresh)))
+        for word, root, ending in ended:
+            new[word] = new[root] + endings[ending]
 
 
 class TextEncoder:
@@ -103,9 +108,6 @@ class TextEncoder:
         found.update(zip(rest, self.direct([prefix + w if w else "" for w in rest])))
         return [found[w] for w in words]
 
-    def unsafe(self, word: str) -> bool:
-        return not self.drops_space and (not word or word[0].isspace() or word[-1].isspace())
-
     def folded(self, word: str) -> str:
         return word.lower() if self.drops_space and word.isascii() else word
 
