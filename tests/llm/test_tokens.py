@@ -35,7 +35,7 @@ def test_cached_words_give_the_ids_of_the_whole_text(path, edge_rows, documents)
     encoder = TextEncoder(path)
     texts = [t or "" for _, t in edge_rows] + [r.text or "" for r in documents.limit(60).collect()]
     texts += ["a  b", " a", "a ", "a\n\nb", "a \n b", "a\tb", "x  y", "a  b", "x\x1c y", "don't  stop 's", "́a ́b", "tab\t", "a\r\nb"]
-    texts += ["İstanbul ΣΑΣ, ΣΑΣ", "A,b A, a, a,, 3, 3,", "x'.s o'.", "Don'T, WE'LL.", "é, É,", "%%% ,, ."]
+    texts += ["İstanbul ΣΑΣ, ΣΑΣ", "A,b A, a, a,, 3, 3,", "x'.s o'.", "Don'T, WE'LL.", "é, É,", "%%% ,, .", "ß. İ İ.", "ǅ ʰ."]
     for _ in range(2):
         for text, ids in zip(texts, encoder.encode_many(texts)):
             assert np.frombuffer(ids, "<u4").tolist() == whole(path, text, False), text[:50]
