@@ -7,8 +7,8 @@ quarter of the graph so far (``BATCH`` at most), so that one numpy call moves al
 compared with each other. Layers thin out geometrically. The graph is kept as flat arrays of links and offsets.
 
 Inner products are made a metric by one more coordinate that brings all vectors of a shard to one length; in the last
-step each node is also linked to those of largest inner product with it, as queries lead to long vectors. Nodes that no
-path reaches get a link from the nearest reached one. Queries come in blocks; each block walks the graphs of its length,
+step each node is also linked to those of largest inner product with it, as queries lead to long vectors. A node without
+a neighbour in layer 1 is raised into it, so that small clusters aren't missed there; nodes that no path reaches get a link from the nearest reached one. Queries come in blocks; each block walks the graphs of its length,
 and the shards' results are merged.
 
 Equal vectors are one node with its smallest vec_ids (as many as a result can hold), so a very common vector
@@ -41,7 +41,7 @@ LINKS = 16
 BUILD_BEAM = 64
 BATCH = 512
 BEAM = 256
-UPPER = 3
+UPPER = 4
 THINNING = 8
 
 
@@ -147,10 +147,33 @@ class Graph:
             if level[best] > level[entry] or top < 0:
                 entry = int(best)
         graph = cls(vectors, tables, entry)
+        graph._cover(whole, level, links, beam)
         graph._reach(level)
         graph._outward()
         return graph
 
+    def _cover(self, whole: np.ndarray, level: np.ndarray, links: int, beam: int) -> None:
+        """Raise nodes into layer 1 until every node is in it or links to one that is, so that no cluster is missed there."""
+        if len(self.tables) == 1:
+            return
+        n, table = len(self.vectors), self.tables[0]
+        upper = np.append(level >= 1, False)
+        covered = upper[:n] | upper[table[:n]].any(axis=1)
+        raised = []
+        for node in np.flatnonzero(~covered):
+            if not covered[node]:
+                raised.append(node)
+                near = table[node][table[node] < n]
+                covered[near[(table[near] == node).any(axis=1)]] = True
+        for a in range(0, len(raised), BATCH):
+            batch = np.array(raised[a : a + BATCH])
+            at = np.full((len(batch), 1), self.entry, dtype=np.int64)
+            sim = whole[batch] @ whole[self.entry][:, None]
+            for k in range(level[self.entry], 0, -1):
+                at, sim = _walk(whole, self.tables[k], whole[batch], at, sim, beam)
+            _join(whole, self.tables[1], batch, at, sim, links)
+            level[batch] = 1
+
     def _reach(self, level: np.ndarray) -> None:
         """Give every node that no path from the entry finds in its layer a link from the nearest node found."""
         n = len(self.vectors)
