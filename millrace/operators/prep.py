@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.numbers import to_number
 from millrace.functions.text import ABSENT_NUMBER, ABSENT_TEXT
-from millrace.operators.profile import column_modes, numeric_columns
+from millrace.operators.profile import column_modes, numeric_columns, value_counts
 from millrace.operators.roles import Hints
 from millrace.plans.quantiles import DIRECT_ROWS, exact_quantiles
 from millrace.plans.ranks import with_share
@@ -155,21 +155,20 @@ def stratified_holdout(
     return split.select(*df.columns, (F.col("__after") == 0).alias("is_holdout"))
 
 
-def wide_text_columns(counts_or_df: DataFrame, hints: Hints, n_rows: int | None = None) -> list[str]:
+def wide_text_columns(df: DataFrame, hints: Hints) -> list[str]:
     """Hinted free-text columns that must not reach one-hot encoding.
 
     The leading text column stays when the case is text-led; the others go when they are not
-    needed or have too many distinct values.
+    needed or have too many distinct values. Values are told apart by their digests, all columns in one pass.
     """
-    df = counts_or_df
     listed = [c for c in hints.text_free if c in df.columns]
     if hints.text_led:
         listed = [c for c in listed if c != hints.text_free[0]]
     if not listed or not hints.text_led:
         return listed
-    row = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count_distinct(c).alias(c) for c in listed]).first()
-    limit = max(50, int(0.3 * row["__rows"]))
-    return [c for c in listed if row[c] > limit]
+    values = value_counts(df.select(*listed), whole=[])
+    found = values.groupBy("column").agg(F.sum("n").alias("n_rows"), F.count("value").alias("n_distinct")).collect()  # one row per column
+    return [r["column"] for r in sorted(found, key=lambda r: listed.index(r["column"])) if r["n_distinct"] > max(50, int(0.3 * r["n_rows"]))]
 
 
 def format_tables(

@@ -252,24 +252,28 @@ def guessed_type(samples: Column) -> Column:
 
 
 def raw_string_profile(df: DataFrame, position: str) -> DataFrame:
-    """Profile of an all-text table: blanks are missing, samples are the first distinct values."""
+    """Profile of an all-text table: blanks are missing, samples are the first distinct values.
+
+    Cells are counted in their short form. The few chosen as samples are read again by position, so whole long cells
+    are never shuffled as keys. Values first met at one position are ordered by their short forms.
+    """
     columns = [c for c in df.columns if c != position]
-    trimmed = df.select(position, *[F.trim(F.col(c).cast("string")).alias(c) for c in columns])
-    long = trimmed.unpivot([position], columns, "column", "cell")
-    values = (
-        long.withColumn("cell", F.when(F.col("cell") != "", F.col("cell")))
-        .groupBy("column", "cell")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("first_at"))
-    )
+    trimmed = df.select(F.col(position).alias("__at"), *[F.trim(F.col(c).cast("string")).alias(c) for c in columns])
+    long = trimmed.unpivot(["__at"], columns, "column", "cell").withColumn("cell", F.when(F.col("cell") != "", F.col("cell")))
+    long = long.withColumn("form", counting_form(F.col("cell")))
+    values = long.groupBy("column", "form").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first_at"))
     totals = values.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(F.col("cell").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
-        F.count("cell").alias("n_unique"),
+        F.coalesce(F.sum(F.when(F.col("form").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
+        F.count("form").alias("n_unique"),
     )
-    by_first = Window.partitionBy("column").orderBy("first_at", "cell")
+    by_first = Window.partitionBy("column").orderBy("first_at", "form")
+    firsts = values.where("form is not null").withColumn("rank", F.row_number().over(by_first)).where(F.col("rank") <= SAMPLE_VALUES)
+    # At most SAMPLE_VALUES rows per column.
+    wanted = F.broadcast(firsts.select("column", "form", F.col("first_at").alias("__at"), "rank"))
     samples = (
-        values.where("cell is not null")
-        .withColumn("rank", F.row_number().over(by_first))
-        .where(F.col("rank") <= SAMPLE_VALUES)
+        long.join(wanted, ["column", "form", "__at"])
+        .groupBy("column", "rank")
+        .agg(F.min("cell").alias("cell"))
         .groupBy("column")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "cell"))).alias("picked"))
         .select("column", F.col("picked.cell").alias("samples"))

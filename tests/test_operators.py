@@ -238,3 +238,27 @@ def test_tabular_experiment_learns(spark):
     assert predicted.where("y = truth").count() > 280
     failed = models.compare_experiments(df.drop("x", "s"), task, ["logistic_regression"])
     assert failed[0].error and failed[0].cv_score is None
+
+
+def test_raw_profile_reads_long_cells_again(spark):
+    from millrace.operators.profile import raw_string_profile
+
+    long = ["x" * 300 + str(i) for i in range(8)]
+    rows = [(i, long[i % 8] if i % 3 else " ", str(i % 2)) for i in range(60)]
+    got = {r["column"]: r for r in raw_string_profile(spark.createDataFrame(rows, "pos int, body string, flag string"), "pos").collect()}
+    assert got["body"].n_missing == 20 and got["body"].n_unique == 8 and got["body"].dtype == "text"
+    assert got["body"].samples == [long[1], long[2], long[4], long[5], long[7]]
+    assert got["flag"].dtype == "integer" and got["flag"].samples == ["0", "1"]
+    empty = raw_string_profile(spark.createDataFrame([(1, None)], "pos int, body string"), "pos").first()
+    assert (empty.n_missing, empty.n_unique, empty.dtype, empty.samples) == (1, 0, "empty", [])
+
+
+def test_wide_text_columns_count_distinct_values(spark):
+    from millrace.operators.prep import wide_text_columns
+    from millrace.operators.roles import Hints
+
+    rows = [(f"t{i}", "w" * 100 + str(i), str(i % 50), None) for i in range(120)]
+    df = spark.createDataFrame(rows, "text string, wide string, few string, none string")
+    led = Hints(text_free=("text", "few", "none", "wide"), representation_options=("tfidf_logreg",))
+    assert wide_text_columns(df, led) == ["wide"]
+    assert wide_text_columns(df, Hints(text_free=("text", "wide"))) == ["text", "wide"]
