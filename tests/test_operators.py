@@ -261,4 +261,4 @@ def test_wide_text_columns_count_distinct_values(spark):
     df = spark.createDataFrame(rows, "text string, wide string, few string, none string")
     led = Hints(text_free=("text", "few", "none", "wide"), representation_options=("tfidf_logreg",))
     assert wide_text_columns(df, led) == ["wide"]
-    assert wide_text_columns(df, Hints(text_free=("text", "wide"))) == ["text", "wide"]
+    assert wide_text_columns(df, Hints(text_free=("text", "wide"), categorical=("few",))) == ["text", "wide"]
