@@ -118,8 +118,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = MAX_TOKENS,
         packer = _Packer((TaskContext.get().partitionId() + 1) << 32, capacity)
         encoder = text_encoder(tokenizer)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(texts)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                 ids += end
                 packer.add(doc_id, 0, ids, len(ids) // 4)
                 if packer.held >= block_sequences * capacity:

@@ -1,6 +1,7 @@
 """Sharding, packing and token files against plain Python."""
 
 import struct
+import sys
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -49,6 +50,33 @@ def test_forgetting_words_changes_nothing(documents, monkeypatch):
         assert TextEncoder(path).encode_many(texts) == [np.array(whole(path, t, False), "<u4").tobytes() for t in texts]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_every_latin_letter_has_the_ids_of_the_whole_text(path):
+    letters = [chr(c) for c in range(0x41, 0x260)]
+    texts = [f"{a} x{a} {a}x. {a}{a}?! {a}'s\n{a}\n{a}b, {a} " for a in letters]
+    texts += ["a\n", "\na", "\n", "a,\nb", "a\n b", "Ġ Ċ Ċa", "a \u0301b", "ı İ.", "x" * 3000 + ".", "a\vb\n\x1cc d"]
+    for text, ids in zip(texts, TextEncoder(path).encode_many(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == whole(path, text, False), text
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_words_are_not_handled_one_by_one(path):
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(w) + end for w, end in zip(rng.choice(list("abcdeé"), (2000, 9)), ["", ",", "."] * 667)) for _ in range(15)]
+    encoder, calls = TextEncoder(path), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event.endswith("call")
+
+    sys.setprofile(count)
+    try:
+        encoder.encode_many(texts)
+    finally:
+        sys.setprofile(None)
+    assert calls < 3000  # for 30,000 words, nearly all distinct
+
+
 def test_shards_hold_groups_together_and_are_near_equal(make_docs, edge_rows, documents):
     rows = shard_documents(make_docs(edge_rows), shards=4).collect()
     assert len(rows) == len(edge_rows)
