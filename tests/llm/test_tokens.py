@@ -1,13 +1,16 @@
 """Sharding, packing and token files against plain Python."""
 
+import gc
 import struct
 import sys
+import tracemalloc
 import zlib
 from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -77,6 +80,21 @@ def test_words_are_not_handled_one_by_one(path):
     assert calls < 3000  # for 30,000 words, nearly all distinct
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_known_words_take_little_memory(path):
+    encoder = TextEncoder(path)
+    names = ["".join("abcdefghij"[int(d)] for d in f"{i:06d}") for i in range(60_000)]
+    tracemalloc.start()
+    try:
+        arrow = pa.total_allocated_bytes()
+        encoder.encode_many([" ".join(names[i : i + 1000]) for i in range(0, len(names), 1000)])
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    finally:
+        tracemalloc.stop()
+    assert held < 60_000 * 60
+
+
 def test_shards_hold_groups_together_and_are_near_equal(make_docs, edge_rows, documents):
     rows = shard_documents(make_docs(edge_rows), shards=4).collect()
     assert len(rows) == len(edge_rows)
