@@ -87,5 +87,17 @@ def tidy(work):
     return run
 
 
+def by_row(answer):
+    """An Arrow worker function that turns each row (a dict) into a record batch, holding what one row needs at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                yield answer(batch.slice(i, 1).to_pylist()[0])
+                give_back()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

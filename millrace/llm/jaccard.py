@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import packets as P
-from millrace.llm.common import tidy, written
+from millrace.llm.common import by_row, tidy, written
 from millrace.llm.components import connected_components
 from millrace.session import cut_lineage
 
@@ -83,31 +83,29 @@ def shingle_entries(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame
 
     counts = P.estimate_counts(packets, hashes, bits)
 
-    def entries(batches, cache=P.WordHashes()):
-        for batch in batches:
-            for row in batch.to_pylist():
-                body = P.unpack(row["body"])
-                sets = _sets(body, size, cache)
-                estimate = P.Cells(_together(sets), bits).estimates(P.replies_of(row["replies"]))
-                pivots, places, names, at = [], [], [], 0
-                for s in sets:
-                    n, e = len(s), estimate[at : at + len(s)]
-                    at += n
-                    reach = n - -(-percent * n // 100) + 1 if n else 0
-                    order = np.lexsort((s, e))[:reach]
-                    first = int(np.searchsorted(e[order], 2))
-                    pivots.append(s[order[first:]].astype(np.int64))
-                    places.append(np.arange(first, len(order), dtype=np.int32))
-                    names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
-                k = len(sets)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": body.column(body.schema.get_field_index("doc_id")), "packet": pa.array([row["packet"]] * k, pa.int64()), "row": pa.array(range(k), pa.int32()), "n": pa.array([len(s) for s in sets], pa.int32()),
-                    "class": pa.array(names, pa.binary()), "pivots": pa.array(pivots, pa.list_(pa.int64())), "places": pa.array(places, pa.list_(pa.int32())),
-                })
+    def entries(row, cache=P.WordHashes()):
+        body = P.unpack(row["body"])
+        sets = _sets(body, size, cache)
+        estimate = P.Cells(_together(sets), bits).estimates(P.replies_of(row["replies"]))
+        pivots, places, names, at = [], [], [], 0
+        for s in sets:
+            n, e = len(s), estimate[at : at + len(s)]
+            at += n
+            reach = n - -(-percent * n // 100) + 1 if n else 0
+            order = np.lexsort((s, e))[:reach]
+            first = int(np.searchsorted(e[order], 2))
+            pivots.append(s[order[first:]].astype(np.int64))
+            places.append(np.arange(first, len(order), dtype=np.int32))
+            names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
+        k = len(sets)
+        return pa.RecordBatch.from_pydict({
+            "doc_id": body.column(body.schema.get_field_index("doc_id")), "packet": pa.array([row["packet"]] * k, pa.int64()), "row": pa.array(range(k), pa.int32()), "n": pa.array([len(s) for s in sets], pa.int32()),
+            "class": pa.array(names, pa.binary()), "pivots": pa.array(pivots, pa.list_(pa.int64())), "places": pa.array(places, pa.list_(pa.int32())),
+        })
 
     schema = "doc_id long, packet long, row int, n int, class binary, pivots array<long>, places array<int>"
     joined = packets.select("packet", "body").join(counts, "packet", "left")
-    return packets, written(joined.mapInArrow(tidy(entries), schema), "jaccard-entries")
+    return packets, written(joined.mapInArrow(tidy(by_row(entries)), schema), "jaccard-entries")
 
 
 def class_texts(packets: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
@@ -116,16 +114,14 @@ def class_texts(packets: DataFrame, rows: DataFrame, members: DataFrame) -> Data
     chosen = wanted.groupBy("class").agg(F.min(F.struct("packet", "row")).alias("at"))
     by_packet = chosen.groupBy("at.packet").agg(F.collect_list(F.struct(F.col("at.row").alias("row"), "class")).alias("wanted"))
 
-    def pick(batches):
+    def pick(row):
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for row in batch.to_pylist():
-                body = P.unpack(row["body"])
-                texts = body.column(body.schema.get_field_index("text")).cast(pa.binary())
-                packed = [pack.compress(texts[w["row"]].as_py()) for w in row["wanted"]]
-                yield pa.RecordBatch.from_pydict({"class": pa.array([w["class"] for w in row["wanted"]], pa.binary()), "text": pa.array(packed, pa.binary())})
+        body = P.unpack(row["body"])
+        texts = body.column(body.schema.get_field_index("text")).cast(pa.binary())
+        packed = [pack.compress(texts[w["row"]].as_py()) for w in row["wanted"]]
+        return pa.RecordBatch.from_pydict({"class": pa.array([w["class"] for w in row["wanted"]], pa.binary()), "text": pa.array(packed, pa.binary())})
 
-    return written(packets.select("packet", "body").join(by_packet, "packet").mapInArrow(tidy(pick), "class binary, text binary"), "jaccard-texts")
+    return written(packets.select("packet", "body").join(by_packet, "packet").mapInArrow(tidy(by_row(pick)), "class binary, text binary"), "jaccard-texts")
 
 
 def compare_pairs(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -246,13 +242,11 @@ def keep_first_of_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PE
     by_packet = gone.groupBy("packet").agg(F.collect_list("row").alias("gone"))
     names = docs.columns
 
-    def keep(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                body = P.unpack(row["body"])
-                stay = np.ones(len(body), dtype=bool)
-                stay[np.array(row["gone"] or [], dtype=np.int64)] = False
-                kept = body.filter(pa.array(stay))
-                yield pa.RecordBatch.from_arrays(kept.columns, names=names)
-
-    return packets.select("packet", "body").join(by_packet, "packet", "left").select("body", "gone").mapInArrow(tidy(keep), docs.schema)
+    def keep(row):
+        body = P.unpack(row["body"])
+        stay = np.ones(len(body), dtype=bool)
+        stay[np.array(row["gone"] or [], dtype=np.int64)] = False
+        kept = body.filter(pa.array(stay))
+        return pa.RecordBatch.from_arrays(kept.columns, names=names)
+
+    return packets.select("packet", "body").join(by_packet, "packet", "left").select("body", "gone").mapInArrow(tidy(by_row(keep)), docs.schema)

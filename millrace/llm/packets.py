@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import give_back, tidy, written
+from millrace.llm.common import by_row, give_back, tidy, written
 
 PACKET_BYTES = 4 << 20
 CELLS_PER_BYTE = 4
@@ -110,6 +110,13 @@ def window_hashes(words: np.ndarray, size: int, seed: int) -> np.ndarray:
     return out
 
 
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """Of sorted entries: whether each differs from the one before."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
 # Messages
 
 
@@ -181,21 +188,30 @@ class Cells:
     """The distinct cells of a packet's hashes, in order, and where each slice begins among them."""
 
     def __init__(self, hashes: np.ndarray, bits: int):
-        self.cells, self.inverse, self.counts = np.unique(hashes >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
+        cells = hashes >> np.uint64(64 - bits)
+        self.order = np.argsort(cells).astype(np.uint32)
+        cells = cells[self.order]
+        self.new = starts(cells)
+        self.cells = cells[self.new]
         self.slices = np.arange(1 << (bits - SLICE_BITS), dtype=np.uint64)
         self.edges = np.append(np.searchsorted(self.cells, self.slices << np.uint64(SLICE_BITS)), len(self.cells))
 
     def messages(self) -> Iterator[tuple[int, bytes]]:
+        firsts = np.append(np.flatnonzero(self.new), len(self.new))
         for s in range(len(self.slices)):
             a, b = self.edges[s], self.edges[s + 1]
             if b > a:
                 local = self.cells[a:b] & np.uint64((1 << SLICE_BITS) - 1)
-                yield s, join_parts(encode_sorted(local), squeeze(np.minimum(self.counts[a:b], MOST).astype("<u2").tobytes()))
+                counts = np.diff(firsts[a : b + 1])
+                yield s, join_parts(encode_sorted(local), squeeze(np.minimum(counts, MOST).astype("<u2").tobytes()))
 
     def estimates(self, replies: dict[int, bytes]) -> np.ndarray:
         """The estimated count of each hash that the object was made from."""
         parts = [np.frombuffer(unsqueeze(replies[s]), "<u2") for s in sorted(replies)]
-        return np.concatenate(parts)[self.inverse] if parts else np.zeros(0, "<u2")
+        out = np.zeros(len(self.order), "<u2")
+        if parts:
+            out[self.order] = np.concatenate(parts)[np.cumsum(self.new, dtype=np.uint32) - 1]
+        return out
 
 
 def _merge_counts(bodies: list[bytes]) -> list[bytes]:
@@ -204,9 +220,13 @@ def _merge_counts(bodies: list[bytes]) -> list[bytes]:
         local, n = split_parts(body)
         cells.append(decode_sorted(local))
         counts.append(np.frombuffer(unsqueeze(n), "<u2"))
-    _, inverse = np.unique(np.concatenate(cells), return_inverse=True)
-    total = np.minimum(np.bincount(inverse, np.concatenate(counts)), MOST).astype("<u2")[inverse]
     ends = np.cumsum([len(c) for c in cells])
+    cells, counts = np.concatenate(cells), np.concatenate(counts)
+    order = np.argsort(cells).astype(np.uint32)
+    new = starts(cells[order])
+    sums = np.minimum(np.add.reduceat(counts[order], np.flatnonzero(new), dtype=np.uint64), MOST).astype("<u2")
+    total = np.empty(len(order), "<u2")
+    total[order] = sums[np.cumsum(new, dtype=np.uint32) - 1]
     return [squeeze(part.tobytes()) for part in np.split(total, ends[:-1])]
 
 
@@ -224,9 +244,7 @@ def estimate_counts(packets: DataFrame, hashes: Callable[[pa.RecordBatch], np.nd
     ``hashes`` gives the hashes of a packet's rows, in an order that depends on the rows alone.
     """
 
-    def send(batches):
-        for batch in batches:
-            for packet, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield message_batch(packet, Cells(hashes(unpack(body.as_py())), bits).messages())
+    def send(row):
+        return message_batch(row["packet"], Cells(hashes(unpack(row["body"])), bits).messages())
 
-    return exchange(packets.select("packet", "body").mapInArrow(tidy(send), MESSAGE), _merge_counts)
+    return exchange(packets.select("packet", "body").mapInArrow(tidy(by_row(send)), MESSAGE), _merge_counts)

@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import tidy, written
 from millrace.llm.tokens import text_encoder
+from millrace.session import arrow_rows
 
 MAX_TOKENS = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 BLOCK_SEQUENCES = 256
+BATCH_ROWS = 1000
 LEFTOVERS = 512
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -142,7 +144,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = MAX_TOKENS,
         yield pa.RecordBatch.from_pydict({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(_KINDS)})
 
     source = docs.select("doc_id", "text")
-    placed = written(source.mapInArrow(tidy(first), PIECE + ", ids binary"), "pieces")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):  # texts are long, and a task holds a batch in the JVM and in Python
+        placed = written(source.mapInArrow(tidy(first), PIECE + ", ids binary"), "pieces")
     names = [name for name, _ in _KINDS]
     packed = placed.filter(F.col("sequence_id").isNotNull()).select(names)
     loose = placed.filter(F.col("sequence_id").isNull())

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from millrace.llm.common import give_back
+
 CACHE_WORDS = 400_000
 BLOCK_CHARS = 4 << 20
 RUN_WORDS = 512
@@ -39,8 +41,8 @@ Runs = tuple[np.ndarray, np.ndarray]  # ids of many words one after another, and
 def _take(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs ``values[start : start + length]`` one after another."""
     ends = np.cumsum(lengths)
-    at = np.repeat(starts - (ends - lengths), lengths)
-    at += np.arange(len(at))
+    at = np.repeat((starts - (ends - lengths)).astype(np.int32), lengths)
+    at += np.arange(len(at), dtype=np.int32)
     return values[at]
 
 
@@ -174,6 +176,7 @@ class TextEncoder:
         while at < len(texts):
             to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_CHARS)) + 1
             yield from self._block(texts[at:to].cast(pa.string()))
+            give_back()
             at = to
 
     def _block(self, texts: pa.Array) -> list[bytes]:
@@ -191,8 +194,10 @@ class TextEncoder:
         of_text = cut.value_lengths().to_numpy().astype(np.int64)
         until = np.cumsum(of_text)
         places = np.concatenate([[0], np.cumsum(lengths[which])])
-        ids = _take(ids, starts[which], lengths[which]).tobytes()
+        del marked, cut, words
         begin, end = places[until - of_text], places[until]
+        del places
+        ids = _take(ids, starts[which], lengths[which]).tobytes()
         out = [ids[4 * (i + extra) : 4 * j] for i, j in zip(begin.tolist(), end.tolist())]
         for k in np.flatnonzero(np.bincount(np.repeat(np.arange(len(out)), of_text), unsafe[which], len(out))):
             head, *tail = _SINGLE_SPACE.split(texts[int(k)].as_py())

@@ -2,12 +2,16 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.llm import packets as P
+from millrace.llm import substrings as S
+from millrace.llm.common import by_row
 from millrace.llm.substrings import dedup_substrings
 
 NONE = 1 << 63
@@ -100,3 +104,39 @@ def test_many_slices(documents, monkeypatch):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     assert P.cell_bits(P.pack_rows(documents, "t")) >= 20
     assert engine(dedup_substrings(documents.repartition(5))) == brute(rows)
+
+
+def test_a_packet_takes_little_memory():
+    """Peaks of what a worker allocates for a packet, in bytes for each byte of text."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 5000, 2000)) for _ in range(25)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(30)), "text": texts + texts[:5]})
+    cache, bits = P.WordHashes(), P.SLICE_BITS + 2
+    first = lambda: dict(P.Cells(S._Windows(batch, 13, cache).first, bits).messages())
+    messages = first()
+    counts = {s: P._merge_counts([m, m])[0] for s, m in messages.items()}
+    second = lambda: dict(S._Repeats(S._Windows(batch, 13, cache), counts, bits).messages())
+    for work, most in ((first, 9), (second, 16)):
+        tracemalloc.start()
+        try:
+            work()
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert peak < most * sum(map(len, batch.column("text").to_pylist()))
+
+
+def test_rows_of_a_batch_are_held_one_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"packet": list(range(8)), "body": [bytes(1 << 20)] * 8})
+
+    def answer(row):
+        assert len(row["body"]) == 1 << 20
+        return pa.RecordBatch.from_pydict({"packet": [row["packet"]]})
+
+    tracemalloc.start()
+    try:
+        out = [r.column(0)[0].as_py() for r in by_row(answer)([batch])]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out == list(range(8)) and peak < 4 << 20

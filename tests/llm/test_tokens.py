@@ -19,6 +19,7 @@ from millrace.llm.packing import pack_block, pack_documents
 from millrace.llm.sharding import longest_first, shard_documents
 from millrace.llm.tokenfiles import document_ids, read_token_files, write_token_files
 from millrace.llm.tokens import TextEncoder
+from millrace.session import arrow_rows
 
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
@@ -95,6 +96,38 @@ def test_known_words_take_little_memory(path):
     assert held < 60_000 * 60
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_a_block_takes_little_memory(path):
+    rng = np.random.default_rng(3)
+    names = ["".join("abcdefghij"[int(d)] for d in f"{i:04d}") for i in range(5000)]
+    texts = [" ".join(names[i] for i in rng.integers(0, 5000, 1000)) for _ in range(400)]
+    encoder = TextEncoder(path)
+    ids = sum(map(len, encoder.encode_many(texts))) // 4
+    tracemalloc.start()
+    try:
+        encoder.encode_many(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 24 * ids
+
+
+def test_batches_of_bounded_rows(spark):
+    key, df = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(0, 5000, 1, 1)
+    sizes = lambda: [r.n for r in df.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches), "n long").collect()]
+    before = spark.conf.get(key)
+    with arrow_rows(spark, 1000):
+        inside = sizes()
+    assert sum(inside) == 5000 and max(inside) <= 1000 and spark.conf.get(key) == before and max(sizes()) > 1000
+    spark.conf.set(key, "10")
+    try:
+        with arrow_rows(spark, 1000):
+            assert max(sizes()) <= 10
+        assert spark.conf.get(key) == "10"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_shards_hold_groups_together_and_are_near_equal(make_docs, edge_rows, documents):
     rows = shard_documents(make_docs(edge_rows), shards=4).collect()
     assert len(rows) == len(edge_rows)
