@@ -12,6 +12,8 @@ from millrace.streaming import keyed, live
 
 _COLUMNS = ["run_id", "id", "ts", "ts_mono_ms", "type", "substep", "agent", "value"]
 FILES = 3
+#: State rows of the registry, of one or a few thousand records each.
+GROUPS = 4096
 
 
 def _in_order(rows, order: str, folder: str):
@@ -83,7 +85,7 @@ def _registry(t, label: str):
     )
     _in_order(messages, "at", f"{root}/log")
     schema = "comm_id long, run_id long, action string, at long, model string, tokens long"
-    changes = keyed.registry_stream(live.event_stream(t.spark, f"{root}/log", schema, 1))
+    changes = keyed.registry_stream(live.event_stream(t.spark, f"{root}/log", schema, 1), groups=GROUPS)
     sink = live.SnapshotSink(t.spark, f"{root}/out", ["comm_id"])
     exported = live.SnapshotSink(t.spark, f"{root}/closed", ["comm_id", "closed_at"], keep="first")
     live.run_available(changes, sink, f"{root}/cursor", {"status = 'closed'": exported}, by_clock=True)

@@ -10,7 +10,7 @@ import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -113,58 +113,84 @@ def deadline_stream(events: DataFrame, cap_ms: int, ended: Column, delay: str =
 # Open and closed records
 
 
-class _Registry(StatefulProcessor):
-    """State of an open record; a closed one leaves a mark that expires."""
+_CHANGE = Row("comm_id", "run_id", "opened_at", "model", "tokens", "closed_at", "status")
 
-    FIELDS = ("run_id", "opened_at", "model", "tokens")
 
-    def __init__(self, remember_ms: int):
-        self.remember_ms = remember_ms
+def _moment(message: Row) -> tuple[bool, int]:
+    return message.at is None, message.at or 0
 
-    def init(self, handle) -> None:
-        self.open = handle.getValueState("open", "run_id long, opened_at long, model string, tokens long")
-        self.closed = handle.getValueState("closed", "at long", self.remember_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        messages = pd.concat(list(rows)).sort_values("at", kind="stable")
-        if self.closed.exists():
-            return  # exported already
-        known = dict(zip(self.FIELDS, self.open.get())) if self.open.exists() else dict.fromkeys(self.FIELDS)
-        closed_at = None
-        for m in messages.to_dict("records"):
-            if m["action"] == "open":
-                known["opened_at"] = int(m["at"]) if known["opened_at"] is None else min(known["opened_at"], int(m["at"]))
-            for field in ("run_id", "model", "tokens"):
-                if not pd.isna(m[field]):
-                    known[field] = m[field] if field == "model" else int(m[field])
-            if m["action"] == "close":
-                closed_at = int(m["at"])
-                break
-        row = {f: [known[f]] for f in self.FIELDS} | {"closed_at": [closed_at], "status": ["open" if closed_at is None else "closed"]}
-        if closed_at is None:
-            self.open.update(tuple(known[f] for f in self.FIELDS))
-        else:
+class _Registry(StatefulProcessor):
+    """State of the open records of a key, as parallel arrays; closed ones leave marks that expire."""
+
+    def __init__(self, remember_ms: int, kind: str):
+        self.remember_ms, self.kind = remember_ms, kind
+
+    def init(self, handle) -> None:
+        self.open = handle.getValueState("open", f"comm_id array<{self.kind}>, run_id array<bigint>, opened_at array<bigint>, model array<string>, tokens array<bigint>")
+        # Written anew with each closing, so when the store lets it expire every mark in it has expired too.
+        self.closed = handle.getValueState("closed", f"comm_id array<{self.kind}>, until array<bigint>", self.remember_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        messages: dict[object, list[Row]] = {}
+        for m in rows:
+            messages.setdefault(m.comm_id, []).append(m)
+        held, marks = self.open.get(), self.closed.get()
+        known = {} if held is None else {c: fields for c, *fields in zip(*held)}
+        closed = {} if marks is None else {c: until for c, until in zip(*marks) if until > now}
+        changes, ended = [], False
+        for comm_id, own in messages.items():
+            if comm_id in closed:
+                continue  # exported already
+            run_id, opened_at, model, tokens = known.pop(comm_id, (None,) * 4)
+            closed_at = None
+            for m in sorted(own, key=_moment):
+                if m.action == "open":
+                    opened_at = m.at if opened_at is None else min(opened_at, m.at)
+                run_id = run_id if m.run_id is None else m.run_id
+                model = model if m.model is None else m.model
+                tokens = tokens if m.tokens is None else m.tokens
+                if m.action == "close":
+                    closed_at = m.at
+                    break
+            if closed_at is None:
+                known[comm_id] = run_id, opened_at, model, tokens
+            else:
+                closed[comm_id], ended = now + self.remember_ms, True
+            changes.append(_CHANGE(comm_id, run_id, opened_at, model, tokens, closed_at, "open" if closed_at is None else "closed"))
+        if known and changes:
+            self.open.update(([*known], *map(list, zip(*known.values()))))
+        elif held is not None and not known:
             self.open.clear()
-            self.closed.update((closed_at,))
-        yield pd.DataFrame(row).astype({"run_id": "Int64", "opened_at": "Int64", "tokens": "Int64", "closed_at": "Int64", "model": "object"})
+        if ended:
+            self.closed.update(([*closed], [*closed.values()]))
+        yield from changes
 
     def close(self) -> None:
         pass
 
 
-def registry_stream(messages: DataFrame, remember_ms: int = 86_400_000) -> DataFrame:
+def registry_stream(messages: DataFrame, remember_ms: int = 86_400_000, groups: int | None = None) -> DataFrame:
     """Changes of communication records: comm_id, run_id, opened_at, model, tokens, closed_at, status.
 
     ``messages``: comm_id, run_id, action (open, enrich, close), at, model, tokens. Later messages fill in what
     earlier ones left out. Every batch gives one row for each record it touched; the row with status ``closed`` comes
     exactly once, when the record's state is dropped, and for ``remember_ms`` further messages of that record
     are ignored. Rows whose newest status is ``open`` are the records in flight.
+
+    Each record has a row of state of its own. A call to the state store takes about a millisecond, so for very many records
+    ``groups`` lets them share that many rows by hash: a batch then reads and writes a row for each group it touched.
+    A group's open records, and its messages of a batch, are held in memory one group at a time.
     """
     keyed_store(messages.sparkSession)
     kind = messages.schema["comm_id"].dataType.simpleString()
     schema = f"comm_id {kind}, run_id long, opened_at long, model string, tokens long, closed_at long, status string"
     rows = messages.select("comm_id", "run_id", "action", "at", "model", "tokens")
-    return rows.groupBy("comm_id").transformWithStateInPandas(_WithKey(_Registry(remember_ms), "comm_id"), schema, "Update", "ProcessingTime")
+    key = "comm_id"
+    if groups is not None:
+        key, rows = "group", rows.withColumn("group", F.pmod(F.xxhash64("comm_id"), F.lit(groups)))
+    return rows.groupBy(key).transformWithState(_Registry(remember_ms, kind), schema, "Update", "ProcessingTime")
 
 
 def communications_view(records: DataFrame) -> DataFrame:

@@ -111,3 +111,43 @@ def test_agents_have_caps_of_their_own(spark):
     rows = {(r.run_id, r.agent): (r.spent, r.cap, r.over) for r in live.agent_flags(live.run_spend(df, ("run_id", "agent")), {"a": 11}).collect()}
     assert rows == {(1, "a"): (11, 11, True), (1, "b"): (50, None, False), (2, "a"): (1, 11, False)}
     assert not any(r.over for r in live.agent_flags(live.run_spend(df, ("run_id", "agent")), {}).collect())
+
+
+@pytest.mark.parametrize("groups", [None, 2])
+def test_records_may_share_rows_of_state(spark, tmp_path, groups):
+    """The same changes whether a record has a row of state of its own or shares it; whole numbers stay exact beside nulls."""
+    big = 2**53 + 1
+    sink = live.SnapshotSink(spark, f"file://{tmp_path}/out", ["comm_id"])
+    exported = live.SnapshotSink(spark, f"file://{tmp_path}/closed", ["comm_id", "closed_at"], keep="first")
+
+    def go(remember_ms=3_600_000):
+        stream = live.event_stream(spark, f"file://{tmp_path}/log", MESSAGES, 1)
+        changes = keyed.registry_stream(stream, remember_ms, groups)
+        live.run_available(changes, sink, f"file://{tmp_path}/cursor", {"status = 'closed'": exported}, by_clock=True)
+        return {r.comm_id: tuple(r)[1:] for r in sink.current().collect()}
+
+    def message(comm, action, when, model=None, tokens=None):
+        return {"comm_id": comm, "run_id": comm + 100, "action": action, "at": when, "model": model, "tokens": tokens}
+
+    put(tmp_path / "log", "a.json", [message(c, "open", c, tokens=big if c % 3 else None) for c in range(40)])
+    put(tmp_path / "log", "b.json", [message(c, "close", 90 + c) for c in range(0, 40, 2)] + [message(50, "enrich", 61, "late"), message(50, "enrich", 60, "first")])
+    put(tmp_path / "log", "c.json", [message(c, "enrich", 200, "m") for c in range(10)])
+    rows = go()
+    expected = {c: (c + 100, c, "m" if c < 10 and c % 2 else None, big if c % 3 else None, None if c % 2 else 90 + c, "open" if c % 2 else "closed") for c in range(40)}
+    assert rows == expected | {50: (150, None, "late", None, None, "open")}
+    assert exported.current().groupBy().count().first()[0] == 20
+    held = state(spark, tmp_path / "cursor").option("stateVarName", "open").load().collect()
+    assert len(held) == (21 if groups is None else groups)
+    assert sorted(c for r in held for c in r.value.comm_id) == [*range(1, 40, 2), 50]
+    marks = state(spark, tmp_path / "cursor").option("stateVarName", "closed").load()
+    assert sorted(c for r in marks.collect() for c in r.value.value.comm_id) == [*range(0, 40, 2)]
+
+
+@pytest.mark.parametrize("groups", [None, 1])
+def test_a_mark_expires(spark, tmp_path, groups):
+    sink = live.SnapshotSink(spark, f"file://{tmp_path}/out", ["comm_id"])
+    for number, (action, when) in enumerate([("close", 1), ("open", 2), ("close", 3)]):
+        put(tmp_path / "log", f"{number}.json", [{"comm_id": 1, "run_id": 2, "action": action, "at": when, "model": None, "tokens": None}])
+        live.run_available(keyed.registry_stream(live.event_stream(spark, f"file://{tmp_path}/log", MESSAGES, 1), 1, groups), sink, f"file://{tmp_path}/cursor", by_clock=True)
+        row = sink.current().first()
+        assert (row.opened_at, row.closed_at) == [(None, 1), (2, None), (2, 3)][number]
