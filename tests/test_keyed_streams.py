@@ -151,3 +151,11 @@ def test_a_mark_expires(spark, tmp_path, groups):
         live.run_available(keyed.registry_stream(live.event_stream(spark, f"file://{tmp_path}/log", MESSAGES, 1), 1, groups), sink, f"file://{tmp_path}/cursor", by_clock=True)
         row = sink.current().first()
         assert (row.opened_at, row.closed_at) == [(None, 1), (2, None), (2, 3)][number]
+
+
+def test_records_beside_one_without_id_are_kept(spark, tmp_path):
+    sink = live.SnapshotSink(spark, f"file://{tmp_path}/out", ["comm_id"])
+    rows = [{"comm_id": c, "run_id": 1, "action": "close" if c in (None, 3) else "open", "at": 5, "model": None, "tokens": None} for c in (None, *range(2**53, 2**53 + 9), 3)]
+    put(tmp_path / "log", "a.json", rows)
+    live.run_available(keyed.registry_stream(live.event_stream(spark, f"file://{tmp_path}/log", MESSAGES, 1), groups=1), sink, f"file://{tmp_path}/cursor", by_clock=True)
+    assert {(r.comm_id, r.status) for r in sink.current().collect()} == {(None, "closed"), (3, "closed"), *((c, "open") for c in range(2**53, 2**53 + 9))}
